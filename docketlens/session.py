@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -53,11 +54,22 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced.
+
+    A long job of many stages would else hold the shuffles of every earlier
+    stage on disk until the driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a spilled table that nothing will read again."""
     path = getattr(df, "_spill_path", None)
