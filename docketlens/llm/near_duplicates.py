@@ -15,25 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.llm import golay
 from docketlens.llm import textops as tx
 from docketlens.llm.graph import components
-from docketlens.session import discard, spill
+from docketlens.session import spill
 
 SEGMENTS, ANCHOR, LEFT, RIGHT = 10, 7, 6, 6
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
 SKETCH_BITS = 128
-#: Largest Hamming distance of two sketches that is still examined: the mean at the
-#: threshold plus 3.3 standard deviations (a true pair is lost with p < 0.0005).
-GROUP_BLOCK = 1500
+#: Texts of one component that are verified together; larger components are split into blocks of it.
+GROUP_BLOCK = 4000
+#: Copies of one text that are named while pairs are verified; texts with more are spread by a join.
+COPIES = 64
 FIELDS = ("comment_text", "attachment_text")
 U64 = np.uint64
 
 
 def sketch_limit(threshold: float, bits: int = SKETCH_BITS) -> int:
+    """Largest distance of two sketches that is still examined: mean at the threshold plus 3.3 deviations (a true pair is lost with p < 0.0005)."""
     differ = (1 - threshold) / 2
     return int(np.ceil(bits * differ + 3.3 * np.sqrt(bits * differ * (1 - differ))))
 
@@ -164,24 +166,38 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 0.0
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("field", pa.string()), ("i", pa.string()), ("j", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+_PAIR_SQL = "field string, i string, j string, a long, b long"
 
 
-def _verifier(threshold: float):
+def _verifier(threshold: float, named: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, texts (sh set) before pairs; a group holds at most two blocks of texts."""
+        """Rows come sorted by group, texts (sh set) before pairs; a group holds at most two blocks of texts.
+
+        A verified pair is named by the comments that carry the two texts; if
+        one text has more than COPIES copies, or names are not wanted, only the texts are given.
+        """
         group, texts = None, {}
         for batch in batches:
-            left, right = [], []
-            for g, a, b, sh in zip(batch.column("g").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sh").to_pylist()):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for g, a, b, sh, field, ids in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b", "sh", "field", "ids"))):
                 if g != group:
                     group, texts = g, {}
                 if sh is not None:
-                    texts[a] = np.frombuffer(sh, np.uint32)
-                elif _overlap(texts[a], texts[b]) >= threshold:
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=_PAIR)
+                    texts[a] = (np.frombuffer(sh, np.uint32), field, ids)
+                    continue
+                left, field, left_ids = texts[a]
+                right, _, right_ids = texts[b]
+                if _overlap(left, right) < threshold:
+                    continue
+                if not named or len(left_ids) > COPIES or len(right_ids) > COPIES:
+                    found = [(None, None)]
+                else:
+                    found = [(min(i, j), max(i, j)) for i in left_ids for j in right_ids if i != j]
+                for i, j in found:
+                    for column, value in zip(out, (field, i, j, a, b)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PAIR.types)], schema=_PAIR)
 
     return verify
 
@@ -195,8 +211,6 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """Pairs (a, b), a < b, of different texts that share a fuzzy key and have close sketches."""
     segments = texts.where("fp is not null").select("h", "sk", "fp").mapInArrow(_unpack, "anchor long, word int, h long, s0 long, s1 long")
     # An anchor of one text only can join nothing: drop it before the keys multiply.
-    from pyspark.sql import Window
-
     by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"])
     order = Window.partitionBy("anchor").orderBy("h")
     shared = by_anchor.withColumn("near", F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull()).where("near").drop("near")
@@ -206,27 +220,37 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & close).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
 
 
-def verified_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs of text hashes whose overlap reaches the threshold, component of every candidate text)."""
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Far fewer edges with the same components: both ends of (a, b) are tied to the least partner of b."""
+    least = Window.partitionBy("b")
+    tied = pairs.withColumn("g", F.min("a").over(least))
+    return tied.select(F.col("b").alias("a"), F.col("g").alias("b")).distinct().unionAll(tied.select("a", F.col("g").alias("b")).where("a <> b").distinct())
+
+
+def verified_pairs(texts: DataFrame, threshold: float = THRESHOLD, named: bool = True) -> DataFrame:
+    """(field, i, j, a, b): text pairs (a, b) whose overlap reaches the threshold, with the comments i < j that carry them."""
     pairs = spill(candidate_pairs(texts, threshold), "p1-candidates")
-    group = components(pairs, "p1-groups")
+    group = components(contracted(pairs), "p1-groups")
     size = group.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / GROUP_BLOCK)).cast("int")
     # A group of more than GROUP_BLOCK texts is split: a text goes to every pair of blocks that holds its block.
-    placed = group.join(size, "component").select("node", "component", blocks.alias("blocks"), F.expr("pmod(node, " + f"cast(greatest(1, ceil(members / {GROUP_BLOCK})) as int))").cast("int").alias("block"))
+    placed = group.join(size, "component").withColumn("blocks", blocks).select("node", "component", "blocks", F.expr("pmod(node, blocks)").cast("int").alias("block"))
     placed = spill(placed, "p1-placed")
     cell = lambda low, high: F.xxhash64("component", low, high)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     copies = placed.select("node", "component", "block", other.alias("other")).select("node", cell(F.least("block", "other"), F.greatest("block", "other")).alias("g"))
-    stored = texts.where("sh is not null").select(F.col("h").alias("node"), "sh")
-    text_rows = copies.join(stored, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh")
-    left = placed.select(F.col("node").alias("a"), "component", F.col("block").alias("x"))
-    right = placed.select(F.col("node").alias("b"), F.col("block").alias("y"))
-    pair_rows = pairs.join(left, "a").join(right, "b").select(cell(F.least("x", "y"), F.greatest("x", "y")).alias("g"), "a", "b", F.lit(None).cast("binary").alias("sh"))
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("comment_id"))
+    ids = texts.select("field", "h", "comment_id").distinct().withColumn("nth", nth).where(F.col("nth") <= COPIES + 1).groupBy("h").agg(F.first("field").alias("field"), F.collect_list("comment_id").alias("ids"))
+    stored = texts.where("sh is not null").select("h", "sh")
+    text_rows = copies.join(stored.join(ids, "h").withColumnRenamed("h", "node"), "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh", "field", "ids")
+    # Both ends of a pair are of one component, so that the component comes with one of them.
+    left = placed.select(F.col("node").alias("a"), "component", "blocks", F.col("block").alias("x"))
+    y = F.expr("pmod(b, blocks)").cast("int")
+    pair_rows = pairs.join(left, "a").withColumn("y", y).select(cell(F.least("x", "y"), F.greatest("x", "y")).alias("g"), "a", "b")
+    for name, kind in (("sh", "binary"), ("field", "string"), ("ids", "array<string>")):
+        pair_rows = pair_rows.withColumn(name, F.lit(None).cast(kind))
     rows = text_rows.unionByName(pair_rows).repartition("g").sortWithinPartitions("g", F.col("sh").isNull())
-    checked = spill(rows.mapInArrow(_verifier(threshold), "a long, b long"), "p1-pairs")
-    discard(pairs)
-    return checked, placed
+    return rows.mapInArrow(_verifier(threshold, named), _PAIR_SQL)
 
 
 def near_duplicate_pairs(comments: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,22 +261,32 @@ def near_duplicate_pairs(comments: DataFrame, threshold: float = THRESHOLD) -> D
     their hash and pass through the join once.
     """
     texts = fingerprint_table(comments)
-    pairs, _ = verified_pairs(texts, threshold)
+    found = verified_pairs(texts, threshold)
     member = texts.select("field", "comment_id", "h").distinct()
-    m1 = member.select(F.col("h").alias("a"), "field", F.col("comment_id").alias("i"))
-    m2 = member.select(F.col("h").alias("b"), F.col("comment_id").alias("j"))
-    between = pairs.join(m1, "a").join(m2, "b").select("field", "i", "j")
     x, y = member.alias("x"), member.alias("y")
     copies = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comment_id") < F.col("y.comment_id"))).select("x.field", F.col("x.comment_id").alias("i"), F.col("y.comment_id").alias("j"))
-    both = between.where("i <> j").unionByName(copies)
-    return both.select("field", F.least("i", "j").alias("comment_id_a"), F.greatest("i", "j").alias("comment_id_b")).distinct()
+    between = found
+    if not member.groupBy("h").count().where(F.col("count") > COPIES).isEmpty():
+        between = spill(found, "p1-pairs")
+        hot = between.where("i is null").select("a", "b").distinct()
+        m1 = member.select(F.col("h").alias("a"), "field", F.col("comment_id").alias("p"))
+        m2 = member.select(F.col("h").alias("b"), F.col("comment_id").alias("q"))
+        spread = hot.join(m1, "a").join(m2, "b").where("p <> q").select("field", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+        copies = copies.unionByName(spread)
+        between = between.where("i is not null")
+    both = between.select("field", "i", "j").unionByName(copies)
+    # A comment whose repeats differ in text can meet another comment twice.
+    repeated = texts.groupBy("field", "comment_id").agg(F.countDistinct("h").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        both = both.distinct()
+    return both.select("field", F.col("i").alias("comment_id_a"), F.col("j").alias("comment_id_b"))
 
 
 def near_duplicate_groups(comments: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """p1: one row per comment and field with its group, the group's size and the comment's number of links between different texts."""
+    """p1: one row per comment and field that has a near copy: its class, the class size and the number of links of its text to different texts."""
     texts = fingerprint_table(comments)
-    pairs, _ = verified_pairs(texts, threshold)
-    group = components(pairs, "p1-final")
+    pairs = spill(verified_pairs(texts, threshold, named=False).select("a", "b").distinct(), "p1-links")
+    group = components(contracted(pairs), "p1-final")
     links = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
     member = texts.select("field", "comment_id", "h").distinct()
     named = member.join(group.select(F.col("node").alias("h"), "component"), "h", "left").join(links, "h", "left")
