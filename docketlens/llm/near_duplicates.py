@@ -26,6 +26,8 @@ from docketlens.session import spill
 SEGMENTS, ANCHOR, LEFT, RIGHT = 10, 7, 6, 6
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
 SKETCH_BITS = 128
+#: Low bits of the second sketch half that carry the number of the segment through the join.
+TAG_BITS = 4
 #: Texts of one component that are verified together; larger components are split into blocks of it.
 GROUP_BLOCK = 4000
 #: Copies of one text that are named while pairs are verified; texts with more are spread by a join.
@@ -34,10 +36,10 @@ FIELDS = ("comment_text", "attachment_text")
 U64 = np.uint64
 
 
-def sketch_limit(threshold: float, bits: int = SKETCH_BITS) -> int:
-    """Largest distance of two sketches that is still examined: mean at the threshold plus 3.3 deviations (a true pair is lost with p < 0.0005)."""
+def sketch_limit(threshold: float, deviations: float, bits: int = SKETCH_BITS - TAG_BITS) -> int:
+    """Largest distance of two sketches that is still examined: mean at the threshold plus some standard deviations."""
     differ = (1 - threshold) / 2
-    return int(np.ceil(bits * differ + 3.3 * np.sqrt(bits * differ * (1 - differ))))
+    return int(np.ceil(bits * differ + deviations * np.sqrt(bits * differ * (1 - differ))))
 
 
 def _seed(k: int) -> np.uint64:
@@ -143,7 +145,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.ascontiguousarray(fp[:, 8 * SEGMENTS :]).view(np.int32).ravel()
         sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.int64).reshape(n, 2)
         h = np.repeat(batch.column("h").to_numpy(), SEGMENTS)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), pa.array(h), pa.array(np.repeat(sk[:, 0], SEGMENTS)), pa.array(np.repeat(sk[:, 1], SEGMENTS))], schema=_SEG)
+        tagged = np.repeat(sk[:, 1] >> TAG_BITS << TAG_BITS, SEGMENTS) | np.tile(np.arange(SEGMENTS), n)
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), pa.array(h), pa.array(np.repeat(sk[:, 0], SEGMENTS)), pa.array(tagged)], schema=_SEG)
 
 
 _KEY = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
@@ -216,8 +219,12 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     shared = by_anchor.withColumn("near", F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull()).where("near").drop("near")
     keys = shared.mapInArrow(_expand, "key long, h long, s0 long, s1 long")
     x, y = keys.alias("x"), keys.alias("y")
-    close = F.expr(f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {sketch_limit(threshold)}")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & close).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+    apart = F.expr(f"cast(bit_count(x.s0 ^ y.s0) + bit_count((x.s1 ^ y.s1) >> {TAG_BITS}) as int)")
+    segment = F.expr(f"shiftleft(1, cast(x.s1 & {(1 << TAG_BITS) - 1} as int))")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= sketch_limit(threshold, 3.3)))
+    pairs = met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), apart.alias("apart"), segment.alias("segment")).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bit_or("segment").alias("segments"))
+    # One shared segment alone is weak evidence: then the sketches must be closer.
+    return pairs.where((F.bit_count("segments") > 1) | (F.col("apart") <= sketch_limit(threshold, 1.6))).select("a", "b")
 
 
 def contracted(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketlens.llm import near_duplicates
+from docketlens.llm import leakage, near_duplicates, residue
 from docketlens.session import load
 
 
@@ -18,9 +18,28 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(load(spark, sf_dir, "comments_raw"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p9_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_kinds(load(spark, sf_dir, "documents"))
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {name: value for name, value in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+SQL: dict[str, str] = {}
