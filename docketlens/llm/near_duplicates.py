@@ -217,6 +217,8 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"])
     order = Window.partitionBy("anchor").orderBy("h")
     shared = by_anchor.withColumn("near", F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull()).where("near").drop("near")
+    # Written out, so that the shuffle of all anchors is gone before the one of the keys begins.
+    shared = spill(shared, "p1-anchors")
     keys = shared.mapInArrow(_expand, "key long, h long, s0 long, s1 long")
     x, y = keys.alias("x"), keys.alias("y")
     apart = F.expr(f"cast(bit_count(x.s0 ^ y.s0) + bit_count((x.s1 ^ y.s1) >> {TAG_BITS}) as int)")
