@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docketlens.llm import leakage, near_duplicates, residue
+from docketlens.llm import encoding_repair, leakage, near_duplicates, packing, percentiles, residue
 from docketlens.session import load
 
 
@@ -18,6 +19,41 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(load(spark, sf_dir, "comments_raw"))
 
 
+GROUPS = ["agency", "submission_channel"]
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of known comment_count per agency and channel."""
+    return percentiles.multi_select(percentiles.partials(load(spark, sf_dir, "federal_register_comments"), GROUPS, "comment_count"), GROUPS)
+
+
+def p2_yearly_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable form: counts per group, publication year and value (7 leading bits: error under 1 %)."""
+    rows = load(spark, sf_dir, "federal_register_comments").withColumn("year", F.substring("publication_date", 1, 4))
+    return percentiles.partials(rows, GROUPS, "comment_count", bits=7, part=["year"])
+
+
+def p2_merged_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from the merged yearly partials, at most 2^-7 below the exact ones."""
+    return percentiles.multi_select(p2_yearly_partials(spark, sf_dir).drop("year"), GROUPS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.damaged_records(load(spark, sf_dir, "comments_raw"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.restored_records(load(spark, sf_dir, "comments_raw"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_items(load(spark, sf_dir, "documents"))
+
+
+def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_summary(load(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -42,4 +78,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_RANKED = """
+with known as (select agency, submission_channel, {value} as v from federal_register_comments where comment_count is not null),
+r as (select *, row_number() over (partition by agency, submission_channel order by v) as rn, count(*) over (partition by agency, submission_channel) as n from known)
+select agency, submission_channel, max(n) as n_known,
+  min(case when rn >= greatest(1, ceil(round(0.25::double * n, 9))) then v end) as p25,
+  min(case when rn >= greatest(1, ceil(round(0.5::double * n, 9))) then v end) as median,
+  min(case when rn >= greatest(1, ceil(round(0.75::double * n, 9))) then v end) as p75,
+  min(case when rn >= greatest(1, ceil(round(0.9::double * n, 9))) then v end) as p90,
+  min(case when rn >= greatest(1, ceil(round(0.99::double * n, 9))) then v end) as p99
+from r group by agency, submission_channel"""
+_BITS = "(comment_count - comment_count % (1::bigint << greatest(0, length(ltrim(bin(comment_count), '0')) - 8)))"
+
+SQL: dict[str, str] = {
+    "p2_percentiles": _RANKED.format(value="comment_count"),
+    "p2_merged_percentiles": _RANKED.format(value=_BITS),
+    "p2_yearly_partials": f"select agency, submission_channel, substring(publication_date, 1, 4) as year, {_BITS} as value, count(*) as n from federal_register_comments where comment_count is not null group by 1, 2, 3, 4",
+}

@@ -25,6 +25,7 @@ SHARE_RECURRING, SHARE_SINGLE = 0.3, 0.6
 
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+")
 _ADDRESS = re.compile(r"\S+@\S+|https?://\S+|(?<!\w)/[\w./-]+|#?\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
+_TO_MASK = re.compile(r"[0-9@/]")
 _NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
 
 # What a slot may name.
@@ -33,7 +34,8 @@ _FIELDS = frozenset(
     "organization organisation company agency office docket id number no n title of rule the senator representative congressman member issue topic subject "
     "story personal here signature recipient sender user customer client a and or".split()
 )
-_SLOT_HINT = re.compile(r"[\[{<«*@%]|__|\(YOUR|XXXX")
+_SLOT_HINT = re.compile(r"[\[{<«@%_]|\*\||\(Y|XXXX")
+_SLOT_SIGN = re.compile(r"[\[{<«@%_*(X]")
 _SLOT_STRONG = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<<[^<>\n]{1,60}>>|\*\|[^|\n]{1,60}\|\*|@@[^@\n]{1,60}@@"
     r"|(?<![\w%])%[A-Z][A-Z_]*%(?![\w%])|(?<!\w)__[A-Z][A-Z_., ]*__(?!\w)|\[(?:insert|INSERT|Insert)\s[^\[\]\n]{1,60}\]|\(YOUR [^()\n]{1,60} HERE\)|(?<!\w)X{4,}(?:-X+)*(?!\w)"
@@ -69,10 +71,17 @@ _CHROME = re.compile(r"^(?:menu|share|loading|skip to|back to|home\b|©|print\b|
 # Words of prose that speaks about such things instead of being one.
 _PROSE = re.compile(r"\b(?:says?|said|survey|people|filers|whoever|each time|this letter|my|shuts? out|common|tried|because|joke)\b")
 _TRIGGER = frozenset(
-    "http error fehler erreur status errno code found find could couldn gateway unavailable respond requests limit retry session again later wrong denied forbidden permission exception traceback trace timeouterror connection "
-    "link moved verify checking captcha traffic blocked gefunden encontrado introuvable disponible verfügbar indisponible verweigert denegado refusé available retrieved ray reference "
-    "javascript script scripts scripting noscript cookie cookies browser dummy filler sample placeholder text copy content body paragraph lorem layout replaced replace add".split()
+    "http error fehler erreur status errno gateway unavailable denied forbidden exception traceback trace timeouterror verify checking captcha blocked "
+    "gefunden encontrado introuvable disponible verfügbar indisponible verweigert denegado refusé retrieved ray reference expired wrong respond "
+    "javascript script scripts scripting noscript cookie cookies dummy filler placeholder lorem layout".split()
 )
+# Words of everyday prose count only in these turns, each of which holds one of the words that follow.
+_TURNS = (
+    "not found", "not available", "not be ", "no longer ", "couldn", "too many requests", " limit;", "retry after", "sign in again", "try again", "may be broken", "have moved", "permission", "connection failed", "connection refused",
+    "unusual traffic", "browser does", "sample text", "sample copy", " goes here", "text here", "content here", "copy here", "to come", "to follow", "coming soon", "replace this", "paragraph", "will be replaced",
+)
+
+_TURN_WORDS = frozenset("found available be longer couldn requests limit retry sign try broken moved permission connection traffic browser sample here come follow soon replace paragraph replaced".split())
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT, CHROME = "placeholder", "filler", "error_page", "script_notice", "chrome"
 
@@ -81,7 +90,7 @@ def has_slot(message: str) -> bool:
     """Whether a message holds an unfilled slot."""
     if "__" in message and (blank := _BLANK.search(message)) and _NAME_WORD.search(message[: blank.start()] + message[blank.end() :]):
         return True
-    if not _SLOT_HINT.search(message):
+    if not _SLOT_SIGN.search(message) or not _SLOT_HINT.search(message):
         return False
     if _SLOT_STRONG.search(message):
         return True
@@ -95,6 +104,8 @@ def has_slot(message: str) -> bool:
 def mask(message: str) -> str:
     """Lower case, numbers, addresses and dates masked, white space folded."""
     low = message.lower()
+    if not _TO_MASK.search(low):
+        return " ".join(low.split())
     return " ".join(_NUMBER.sub("0", _ADDRESS.sub("<h>", low)).split())
 
 
@@ -105,15 +116,17 @@ def classify(message: str, masked: str, words: list[str]) -> str | None:
     distinct = set(words)
     if len(words) >= 3 and len(distinct) == 1 or len(words) >= 6 and len(distinct) <= 2 and not words[0].isdigit():
         return FILLER
-    if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.7 * len(words):
+    if len(words) >= 3 and len(distinct & _LATIN) >= 0.6 * len(distinct):
         return FILLER
-    if _CHROME.search(masked):
+    if len(words) > 45:
+        return None
+    if len(words) <= 8 and _CHROME.search(masked):
         return CHROME
-    if distinct.isdisjoint(_TRIGGER):
+    if distinct.isdisjoint(_TRIGGER) and (distinct.isdisjoint(_TURN_WORDS) or not any(turn in masked for turn in _TURNS)):
         return None
     if _FILLER.search(masked):
         return FILLER
-    if _PROSE.search(masked) or len(words) > 45:
+    if _PROSE.search(masked):
         return None
     if _SCRIPT.search(masked) and _SCRIPT_DEED.search(masked):
         return SCRIPT
@@ -128,6 +141,7 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sources = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
         out: tuple[list, ...] = ([], [], [], [], [])
+        add_id, add_source, add_hash, add_kind, add_words = (column.append for column in out)
         for doc_id, source, text in zip(ids, sources, batch.column("text").to_pylist()):
             if not text:
                 continue
@@ -139,9 +153,11 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind = classify(message, masked, words)
                 if kind is None and len(words) <= 5 and masked[-1] not in ".!?":
                     kind = CHROME  # titles and labels neither make nor break a page
-                row = (doc_id, source, xxhash.xxh3_64_intdigest(masked) - (1 << 63), kind, max(1, len(words)))
-                for column, value in zip(out, row):
-                    column.append(value)
+                add_id(doc_id)
+                add_source(source)
+                add_hash(xxhash.xxh3_64_intdigest(masked) - (1 << 63))
+                add_kind(kind)
+                add_words(len(words) or 1)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _MSG.types)], schema=_MSG)
 
 
