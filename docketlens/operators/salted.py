@@ -28,8 +28,8 @@ def salted_aggregate(df: DataFrame, key: str, spread: Column, partial: dict[str,
     ``partial`` maps names to aggregates of rows, ``merge`` to aggregates of the
     partial columns.  A NULL key is a group of its own.
     """
-    heavy = heavy_keys(df, key, share).withColumn("_heavy", F.lit(True))
-    marked = df.join(F.broadcast(heavy), df[key].eqNullSafe(heavy[key]), "left").drop(heavy[key])
+    heavy = heavy_keys(df, key, share).select(F.col(key).alias("_key"), F.lit(True).alias("_heavy"))
+    marked = df.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_key")), "left")
     salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     salted = marked.withColumn("_salt", salt).groupBy(key, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
     return salted.groupBy(key).agg(*[c.alias(n) for n, c in merge.items()])
