@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of an execution when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per application."""
@@ -50,26 +52,23 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, but computes the rows once and
-    keeps them columnar; it survives the loss of any executor.
+    keeps them columnar; it survives the loss of any executor.  The shuffles
+    behind it are removed at once, so that a long job holds on disk only what
+    later steps still read.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(df.sparkSession)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced.
-
-    A long job of many stages would else hold the shuffles of every earlier
-    stage on disk until the driver happens to collect its garbage.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame | None) -> None:
     """Delete a spilled table that nothing will read again."""
     path = getattr(df, "_spill_path", None)
