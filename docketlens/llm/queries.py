@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import encoding_repair, leakage, near_duplicates, packing, percentiles, residue
+from docketlens.llm import encoding_repair, leakage, near_duplicates, packing, percentiles, residue, scan_repair
 from docketlens.session import load
 
 
@@ -46,6 +46,14 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.restored_records(load(spark, sf_dir, "comments_raw"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.noise_kinds(load(spark, sf_dir, "comments_raw"))
+
+
+def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.repaired_texts(load(spark, sf_dir, "comments_raw"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_items(load(spark, sf_dir, "documents"))
 
