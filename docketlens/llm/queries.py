@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketlens.llm import encoding_repair, leakage, name_linkage, near_duplicates, packing, percentiles, residue, scan_repair
+from docketlens.llm import encoding_repair, leakage, name_linkage, near_duplicates, packing, percentiles, personal_data, residue, scan_repair
 from docketlens.session import load
 
 
@@ -46,6 +46,14 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.restored_records(load(spark, sf_dir, "comments_raw"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.fields_with_items(load(spark, sf_dir, "comments_raw"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.redacted_texts(load(spark, sf_dir, "comments_raw"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_linkage.name_pairs(load(spark, sf_dir, "comments_raw"))
 
