@@ -152,15 +152,49 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEY = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
 
 
+#: Rows of one anchor up to which keys that meet nothing are dropped before the shuffle.
+ANCHOR_ROWS = 200_000
+
+
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        codes = golay.fuzzy_keys(batch.column("word").to_numpy())
+    """Fuzzy keys of rows that come sorted by anchor; a key that only one text of its anchor has can join nothing and is dropped.
+
+    Whole anchors are looked at together; one of more than ANCHOR_ROWS rows is
+    passed on in parts with all its keys.
+    """
+    split: int | None = None
+
+    def keys(table: pa.Table, whole: bool) -> pa.RecordBatch:
+        codes = golay.fuzzy_keys(table.column("word").to_numpy())
         some = codes >= 0
         times = some.sum(axis=1)
-        anchor = np.repeat(batch.column("anchor").to_numpy(), times).view(U64)
+        anchor = np.repeat(table.column("anchor").to_numpy(), times).view(U64)
         key = tx.mix64(anchor + codes[some].astype(U64))
-        columns = [pa.array(tx.signed(key))] + [pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("h", "s0", "s1")]
-        yield pa.RecordBatch.from_arrays(columns, schema=_KEY)
+        columns = [tx.signed(key)] + [np.repeat(table.column(c).to_numpy(), times) for c in ("h", "s0", "s1")]
+        if whole:
+            _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+            met = count[place] > 1
+            if split is not None:
+                met |= tx.signed(anchor) == split
+            columns = [c[met] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_KEY)
+
+    waiting: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        waiting = table if waiting is None else pa.concat_tables([waiting, table])
+        anchors = waiting.column("anchor").to_numpy()
+        if len(anchors) < 20_000:
+            continue
+        last = int(np.searchsorted(anchors, anchors[-1], side="left"))
+        if last:
+            yield keys(waiting.slice(0, last), True)
+            waiting = waiting.slice(last)
+        elif len(anchors) > ANCHOR_ROWS:
+            yield keys(waiting, False)
+            split, waiting = int(anchors[-1]), None
+    if waiting is not None and waiting.num_rows:
+        yield keys(waiting, True)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -213,13 +247,9 @@ def fingerprint_table(comments: DataFrame) -> DataFrame:
 def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b), a < b, of different texts that share a fuzzy key and have close sketches."""
     segments = texts.where("fp is not null").select("h", "sk", "fp").mapInArrow(_unpack, "anchor long, word int, h long, s0 long, s1 long")
-    # An anchor of one text only can join nothing: drop it before the keys multiply.
-    by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"])
-    order = Window.partitionBy("anchor").orderBy("h")
-    shared = by_anchor.withColumn("near", F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull()).where("near").drop("near")
+    by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"]).sortWithinPartitions("anchor")
     # Written out, so that the shuffle of all anchors is gone before the one of the keys begins.
-    shared = spill(shared, "p1-anchors")
-    keys = shared.mapInArrow(_expand, "key long, h long, s0 long, s1 long")
+    keys = spill(by_anchor.mapInArrow(_expand, "key long, h long, s0 long, s1 long"), "p1-keys")
     x, y = keys.alias("x"), keys.alias("y")
     apart = F.expr(f"cast(bit_count(x.s0 ^ y.s0) + bit_count((x.s1 ^ y.s1) >> {TAG_BITS}) as int)")
     segment = F.expr(f"shiftleft(1, cast(x.s1 & {(1 << TAG_BITS) - 1} as int))")
