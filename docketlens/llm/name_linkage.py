@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from docketlens.llm import textops as tx
 from docketlens.session import discard, spill
 
-Q, ROWS = 3, 2
-LEAST, RECALL = 0.45, 0.99
+Q, RECALL = 3, 0.99
+#: Per kind: the least q-gram similarity of a variant to the usual spelling, and min-hashes per band.
+TUNED = {"organization": (0.55, 5), "person": (0.48, 3)}
 #: A token of more organisation names than this share (and number) says nothing about which one is meant; at most tokens-per-name / share tokens can be so common.
 COMMON_SHARE, COMMON_NAMES = 0.01, 300
 MEAN_SIMILARITY, TOKEN_SIMILARITY = 0.84, 0.68
@@ -59,8 +60,9 @@ for _full, _shorts in NICKNAMES.items():
         _FAMILIAR.setdefault(_short, set()).add(_full)
 
 
-def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
-    """Bands of ``rows`` min-hashes so that names of similarity ``least`` meet with probability ``recall``."""
+def bands(kind: str, recall: float = RECALL) -> int:
+    """Number of bands from the collision curve 1 - (1 - s^rows)^bands: names of the least similarity meet with probability ``recall``."""
+    least, rows = TUNED[kind]
     return ceil(log(1 - recall) / log(1 - least**rows))
 
 
@@ -69,6 +71,7 @@ def _plain(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=100_000)
 def organisation_tokens(name: str) -> tuple[list[str], list[str]]:
     """(tokens that tell the organisation, its legal forms); both empty for values that name nobody."""
     core = _INITIALS.sub(" ", _DESK.sub("", name))
@@ -84,6 +87,7 @@ def organisation_tokens(name: str) -> tuple[list[str], list[str]]:
     return told or tokens, [_FORM_OF[t] for t in tokens if t in _FORM_OF]
 
 
+@lru_cache(maxsize=100_000)
 def person_tokens(first: str, last: str) -> list[str]:
     """Name tokens without titles; middle initials are dropped while two other tokens stay."""
     tokens = [t for t in re.findall(r"[^\W\d_]+", _plain(f"{first} {last}".replace("-", "").replace("'", "").replace("’", ""))) if t not in _TITLES]
@@ -99,14 +103,14 @@ def grams(tokens: list[str]) -> set[str]:
     return {p[i : i + Q] for t in tokens for p in [f"{pad}{t}{pad}"] for i in range(len(p) - Q + 1)}
 
 
-def band_keys(tokens: list[str], block: str, number: int) -> np.ndarray:
+def band_keys(tokens: list[str], block: str, number: int, rows: int) -> np.ndarray:
     """One key per band of the tokens' min-hash signature, within a block (kind and ZIP code)."""
     base = np.array([xxhash.xxh3_64_intdigest(g) for g in grams(tokens)], dtype=np.uint64)
-    seeds = (np.arange(1, number * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    least = tx.mix64(base[None, :] ^ seeds).min(axis=1).reshape(number, ROWS)
+    seeds = (np.arange(1, number * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    least = tx.mix64(base[None, :] ^ seeds).min(axis=1).reshape(number, rows)
     salt = np.uint64(xxhash.xxh3_64_intdigest(block))
     key = salt + np.arange(number, dtype=np.uint64)
-    for r in range(ROWS):
+    for r in range(rows):
         key = tx.mix64(key ^ least[:, r])
     return tx.signed(key)
 
@@ -128,12 +132,19 @@ def distance(a: str, b: str) -> int:
     return last[-1]
 
 
+def letters_apart(a: str, b: str) -> int:
+    """Letters one word has and the other hasn't; two edits change at most four."""
+    return len(set(a) ^ set(b))
+
+
 def token_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0
     longer = max(len(a), len(b))
     if abs(len(a) - len(b)) > 2 or longer < 4:
         return 0.0
+    if letters_apart(a, b) > 4:
+        return 0.0
     edits = distance(a, b)
     return 1 - edits / longer if edits <= (1 if longer < 7 else 2) else 0.0
 
@@ -151,12 +162,12 @@ def same_organisation(a: str, b: str) -> bool:
     # Different legal forms are different bodies, unless one name leaves the form out.
     if x_forms and y_forms and not set(x_forms) & set(y_forms):
         return False
-    if abs(len(x) - len(y)) <= 2:
-        joined = distance("".join(x), "".join(y)) if abs(len("".join(x)) - len("".join(y))) <= 2 else 9
-        if joined <= 2 or "".join(sorted(x)) == "".join(sorted(y)):
-            return True
     forward, back = monge_elkan(x, y, token_similarity), monge_elkan(y, x, token_similarity)
-    return min(forward[0], back[0]) >= MEAN_SIMILARITY and min(forward[1], back[1]) >= TOKEN_SIMILARITY
+    if min(forward[0], back[0]) >= MEAN_SIMILARITY and min(forward[1], back[1]) >= TOKEN_SIMILARITY:
+        return True
+    # Words run together or cut apart.
+    one, other = "".join(x), "".join(y)
+    return abs(len(one) - len(other)) <= 2 and letters_apart(one, other) <= 4 and abs(len(x) - len(y)) <= 2 and max(forward[0], back[0]) >= 0.3 and distance(one, other) <= 2
 
 
 def given_similarity(a: str, b: str) -> float:
@@ -191,7 +202,7 @@ _NAME_SQL = "id long, kind string, zip5 string, name string, n long, keys array<
 
 
 def _signer(common: frozenset[str]):
-    number = bands()
+    number = {kind: bands(kind) for kind in TUNED}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +217,7 @@ def _signer(common: frozenset[str]):
                 if not tokens:
                     continue
                 identity = xxhash.xxh3_64_intdigest(f"{kind}\x00{zip5}\x00{name}") - (1 << 63)
-                for column, value in zip(out, (identity, kind, zip5, name, n, band_keys(tokens, f"{kind}\x00{zip5}", number))):
+                for column, value in zip(out, (identity, kind, zip5, name, n, band_keys(tokens, f"{kind}\x00{zip5}", number[kind], TUNED[kind][1]))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _NAME.types)], schema=_NAME)
 
