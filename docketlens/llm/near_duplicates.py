@@ -266,6 +266,29 @@ def contracted(pairs: DataFrame) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("g").alias("b")).distinct().unionAll(tied.select("a", F.col("g").alias("b")).where("a <> b").distinct())
 
 
+#: Bits of the sieve that keeps texts without candidates out of a shuffle: 2 MB at any size of input.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(nodes: DataFrame) -> np.ndarray:
+    """Bit set of the places of all nodes; of fixed size, so that it lets more through, but never loses a node, as nodes grow."""
+    place = F.pmod(F.xxhash64("node"), F.lit(SIEVE_BITS))
+    bits = nodes.select((place / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {SIEVE_BITS}), 32) as int))").alias("bit"))
+    out = np.zeros(SIEVE_BITS // 32, np.int64)
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _sifter(bits: np.ndarray):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            yield batch.filter(pa.array((bits[place >> 5] >> (place & 31)) & 1 == 1)).select(["node", "sh"])
+
+    return sift
+
+
 def verified_pairs(texts: DataFrame, threshold: float = THRESHOLD, named: bool = True) -> DataFrame:
     """(field, i, j, a, b): text pairs (a, b) whose overlap reaches the threshold, with the comments i < j that carry them."""
     pairs = spill(candidate_pairs(texts, threshold), "p1-candidates")
@@ -280,8 +303,10 @@ def verified_pairs(texts: DataFrame, threshold: float = THRESHOLD, named: bool =
     copies = placed.select("node", "component", "block", other.alias("other")).select("node", cell(F.least("block", "other"), F.greatest("block", "other")).alias("g"))
     nth = F.row_number().over(Window.partitionBy("h").orderBy("comment_id"))
     ids = texts.select("field", "h", "comment_id").distinct().withColumn("nth", nth).where(F.col("nth") <= COPIES + 1).groupBy("h").agg(F.first("field").alias("field"), F.collect_list("comment_id").alias("ids"))
-    stored = texts.where("sh is not null").select("h", "sh")
-    text_rows = copies.join(stored.join(ids, "h").withColumnRenamed("h", "node"), "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh", "field", "ids")
+    placed_at = F.pmod(F.xxhash64("node"), F.lit(SIEVE_BITS)).alias("place")
+    stored = texts.where("sh is not null").select(F.col("h").alias("node"), "sh").select("node", "sh", placed_at)
+    stored = stored.mapInArrow(_sifter(sieve(placed.select("node"))), "node long, sh binary")
+    text_rows = copies.join(ids.withColumnRenamed("h", "node"), "node").join(stored, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh", "field", "ids")
     # Both ends of a pair are of one component, so that the component comes with one of them.
     left = placed.select(F.col("node").alias("a"), "component", "blocks", F.col("block").alias("x"))
     y = F.expr("pmod(b, blocks)").cast("int")
