@@ -30,7 +30,7 @@ COMPANY_WORDS = ("inc", "llc", "corp", "company", "association", "coalition", "g
 BUSINESS_TYPES = ("organization", "company", "business")
 SCHOLAR_WORDS = ("university", "college", "institute", "research", "lab", "dept", "department")
 ADVISER_WORDS = ("consulting", "consultancy", "partners", "solutions", "services")
-STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "are", "was", "were", "been", "have", "has", "had")
+STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "have", "has", "are", "was", "were", "been", "will")
 BINS = [("0-10", 10), ("11-100", 100), ("101-1000", 1000), ("1001-10000", 10000), ("10000+", None)]
 VOLUMES = [("1", 1), ("2-5", 5), ("6-10", 10), ("11-50", 50), ("51-100", 100), ("100+", None)]
 LEVELS = (10, 25, 40, 60)
@@ -149,11 +149,9 @@ def quadrant(x: Column, y: Column) -> Column:
 
 
 def reply_label(reply: Column | str) -> Column:
-    """Label named by a model's reply: an exact label, else the first key word it contains, else undecided."""
+    """Label named by a model's reply: the first key word it contains, undecided if none."""
     low = F.lower(stripped(F.coalesce(c(reply), F.lit(""))))
     out = F.when(low == "", UNDECIDED)
-    for label in (UNDECIDED, CITIZEN, WRITTEN_ORGANIZATION, EXPERT, LOBBYIST):
-        out = out.when(low == label.lower(), label)
     for word, label in (("undecided", UNDECIDED), ("citizen", CITIZEN), ("org", WRITTEN_ORGANIZATION), ("expert", EXPERT), ("lobbyist", LOBBYIST)):
         out = out.when(low.contains(word), label)
     return out.otherwise(UNDECIDED)
@@ -181,16 +179,15 @@ def combined_text(*columns: str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case words of at least three letters a-z, stopwords left out."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c(text), F.lit(""))), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
-    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))
+    found = F.split(F.lower(F.coalesce(c(text), F.lit(""))), r"[^\p{L}\p{N}\p{M}_]+")
+    return F.filter(found, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*STOPWORDS))
 
 
 def sample_size(population: Column, confidence: float = 0.95, error: float = 0.05) -> Column:
     """Finite-population sample size for a proportion of one half; the whole population below ten."""
     z = 1.96 if confidence == 0.95 else 2.576
     unlimited = z * z * 0.5 * 0.5 / (error * error)
-    n = population.cast("double")
-    corrected = F.floor(F.lit(float(int(unlimited) - 0)) * 0 + F.lit(unlimited) / (1 + (F.lit(unlimited) - 1) / n)) + 1
+    corrected = F.floor(F.lit(unlimited) / (1 + (F.lit(unlimited) - 1) / F.greatest(population, F.lit(1)).cast("double"))) + 1
     return F.when(population <= 0, 0).when(population < 10, population).otherwise(F.least(corrected, population)).cast("long")
 
 
