@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hot_keys", "scalars", "relational")
+MODULES = ("hot_keys", "scalars", "relational", "curves")
 
 
 def _gather(name: str) -> dict:
