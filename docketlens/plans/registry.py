@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hot_keys", "scalars", "relational", "curves")
+MODULES = ("hot_keys", "scalars", "relational", "curves", "pipeline")
 
 
 def _gather(name: str) -> dict:
