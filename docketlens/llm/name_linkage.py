@@ -25,7 +25,7 @@ from docketlens.session import discard, spill
 
 Q, RECALL = 3, 0.99
 #: Per kind: the least q-gram similarity of a variant to the usual spelling, and min-hashes per band.
-TUNED = {"organization": (0.55, 5), "person": (0.48, 3)}
+TUNED = {"organization": (0.6, 6), "person": (0.48, 3)}
 #: A token of more organisation names than this share (and number) says nothing about which one is meant; at most tokens-per-name / share tokens can be so common.
 COMMON_SHARE, COMMON_NAMES = 0.01, 300
 MEAN_SIMILARITY, TOKEN_SIMILARITY = 0.84, 0.68
