@@ -30,10 +30,11 @@ ORDINARY_SHARE = 0.0005
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _GAP = r"(?:[ \t\x0c\xa0]|\s*<br ?/?>\s*|\r?\n)"
-_EMAIL = re.compile(
-    r"(?:<?mailto:)?[\w.+%-]*\w(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s?\[dot\]\s?|\s?\(dot\)\s?)))[A-Za-z0-9][\w-]*(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s+dot\s+)[A-Za-z0-9][\w-]*)*(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s+dot\s+)[A-Za-z]{2,}\b>?",
-    re.IGNORECASE,
-)
+_AT = re.compile(r"\s?(?:@|\[at\]|\(at\))\s?|\s+at\s+", re.IGNORECASE)
+_LOCAL = re.compile(r"(?:<?mailto:)?[\w.+%-]*\w$", re.IGNORECASE)
+_DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s+dot\s+)"
+_DOMAIN = re.compile(rf"[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)*{_DOT}[A-Za-z]{{2,}}\b>?", re.IGNORECASE)
+_SPOKEN_DOT = re.compile(r"[\w-]+(?:\s+dot\s+|\s?\[dot\]\s?|\s?\(dot\)\s?)", re.IGNORECASE)
 _PHONE = re.compile(
     r"(?<![\w$.,/#-])(?:\+\d{1,3}(?:[\s.-]?\(0\))?[\s.-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\s.-]?\d{2,5}){1,4}|1[-.\s]\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}|\d{3}[-./\s]\d{3}[-.\s]\d{4}|\d{3}\s\d{3}\s\d{2}\s\d{2}|0\d(?:[\s.]\d{2}){4}|\d{10}|\d{3}[-.]\d{4})"
     r"(?:\s*(?:ext|x|extension)\.?\s*\d{1,6})?(?![\w-]|[.,/]\d)",
@@ -46,8 +47,7 @@ _UNIT = rf"(?:,?{_GAP}+(?:Apt|Apartment|Unit|Suite|Ste|Room|Rm|Floor|Fl)\.?{_GAP
 _TOWN = rf"(?:,?{_GAP}+[A-Z][\w.]+(?:{_GAP}[A-Z][a-z]+)?,?{_GAP}+(?:[A-Z]{{2}}\b|California|Oregon|Texas|Ohio|Florida|Nevada)(?:{_GAP}+\d{{5}}(?:-\d{{4}})?)?)?"
 _STREET = rf"\d{{1,6}}(?:-\d{{1,4}}|[A-Z])?{_GAP}+(?:[NSEW]{{1,2}}\.?{_GAP}+)?(?:(?:[A-Z][\w'’]*|\d{{1,3}}(?:st|nd|rd|th)){_GAP}+){{1,3}}(?:{_STREETS})\b\.?"
 _ADDRESS = re.compile(rf"(?<![\w$.,/#-])(?:{_STREET}|(?:P\.?\s?O\.?|POST OFFICE){_GAP}?BOX{_GAP}+\d{{1,6}}\b|(?:RR|R\.R\.|HC|RURAL ROUTE|STAR ROUTE){_GAP}+\d{{1,3}},?{_GAP}+BOX{_GAP}+\d{{1,6}}\b){_UNIT}{_TOWN}", re.IGNORECASE)
-_ADDRESS_SIGN = re.compile(rf"\d\w*(?:-\d+)?{_GAP}+(?:[NSEW]{{1,2}}\.?{_GAP}+)?(?:[A-Z]|\d+(?:st|nd|rd|th))|box", re.IGNORECASE)
-_STREET_SIGN = re.compile(rf"\b(?:{_STREETS}|box)\b", re.IGNORECASE)
+_DIGIT = re.compile(r"\d")
 
 # A letter, or the second half of a wrongly decoded one.
 _L = "(?:[^\\W\\d_]|(?<=[ÃÂ√])[^\\s\\w]|[�√])"
@@ -91,14 +91,20 @@ def find_numbers(text: str) -> list[tuple[str, int, int, str, float | None]]:
 
     low = text.lower()
     if "@" in text or "[at]" in low or "(at)" in low or " at " in low and "dot" in low:
-        found += [("email", m.start(), m.end(), "email", 1.0) for m in _EMAIL.finditer(text)]
-    if _STREET_SIGN.search(text) and _ADDRESS_SIGN.search(text):
+        for at in _AT.finditer(text):
+            # The bare word "at" stands in an address only before a spelled-out dot.
+            if at.group().strip().lower() == "at" and not _SPOKEN_DOT.match(text, at.end()):
+                continue
+            domain = _DOMAIN.match(text, at.end())
+            local = domain and _LOCAL.search(text, max(0, at.start() - 80), at.start())
+            if local and free(local.start(), domain.end()):
+                found.append(("email", local.start(), domain.end(), "email", 1.0))
+    if _DIGIT.search(text):
         for m in _ADDRESS.finditer(text):
             words = m.group().split()
             # Written in small letters a number before a common word ("3 people drive") is no street.
             if free(m.start(), m.end()) and ("box" in m.group().lower() or m.group().isupper() or any(w[0].isupper() for w in words[1:2]) or words[1][:1].isdigit()):
                 found.append(("address", m.start(), m.end(), "address", 1.0))
-    if any(c in low for c in "0123456789"):
         for m in _IDENTITY.finditer(text):
             if not free(m.start(), m.end()):
                 continue
@@ -118,6 +124,11 @@ def find_numbers(text: str) -> list[tuple[str, int, int, str, float | None]]:
     return found
 
 
+_CAPITALISED = re.compile(rf"(?<!\w){_CAP}")
+#: Characters a title, an initial and white space before a family name may take.
+_REACH = 24
+
+
 def _odd(word: str) -> bool:
     """Too few plain letters to be a name, as in garbled text."""
     return len(word) > 1 and sum(c.isascii() for c in word) < 0.6 * len(word)
@@ -126,8 +137,18 @@ def _odd(word: str) -> bool:
 def find_names(text: str, taken: list[tuple[int, int]], ordinary: frozenset[str]) -> list[tuple[int, int, str, str, str, str]]:
     """(start, end, given, family, form, what follows) of runs of capitalised words that are no ordinary words."""
     out = []
-    at = 0
-    while match := _NAME.search(text, at):
+    # Only near a capitalised word that is no ordinary word can a name begin.
+    telling = [m.start() for m in _CAPITALISED.finditer(text) if m.group().lower() not in ordinary]
+    at = nxt = 0
+    while True:
+        while nxt < len(telling) and telling[nxt] < at:
+            nxt += 1
+        if nxt == len(telling):
+            break
+        at = max(at, telling[nxt] - _REACH)
+        match = _NAME.search(text, at)
+        if not match:
+            break
         title, one, two, comma = match.group("title"), match.group("one"), match.group("two"), match.group("comma")
         start = match.start()
         low = one.rstrip(".").lower()
