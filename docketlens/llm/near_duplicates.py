@@ -23,7 +23,9 @@ from docketlens.llm import textops as tx
 from docketlens.llm.graph import components
 from docketlens.session import spill
 
-SEGMENTS, ANCHOR, LEFT, RIGHT = 10, 7, 6, 6
+SEGMENTS, ANCHOR = 10, 7
+#: Words around the anchor that a segment's 23 bits depend on: narrow ones survive moved sentences, wide ones tell stock phrases apart.
+REACH = (4, 4, 4, 4, 4, 4, 4, 1, 1, 1)
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
 SKETCH_BITS = 128
 #: Low bits of the second sketch half that carry the number of the segment through the join.
@@ -68,7 +70,7 @@ def fingerprints(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
         hit = np.nonzero(value == least[text])[0]
         place = np.empty(len(lengths), np.int64)
         place[text[hit[::-1]]] = at[hit[::-1]]
-        window = place[:, None] + np.arange(-LEFT, ANCHOR + RIGHT)[None, :]
+        window = place[:, None] + np.arange(-REACH[k], ANCHOR + REACH[k])[None, :]
         inside = (window >= begin[:, None]) & (window < end[:, None])
         around = tx.mix64(flat[np.clip(window, 0, len(flat) - 1)])
         for b in range(golay.BITS):
