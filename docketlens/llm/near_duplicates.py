@@ -159,7 +159,7 @@ ANCHOR_ROWS = 200_000
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fuzzy keys of rows that come sorted by anchor; a key that only one text of its anchor has can join nothing and is dropped.
+    """Fuzzy keys of rows that come sorted by anchor, without the keys that would join nothing new.
 
     Whole anchors are looked at together; one of more than ANCHOR_ROWS rows is
     passed on in parts with all its keys.
@@ -174,8 +174,14 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tx.mix64(anchor + codes[some].astype(U64))
         columns = [tx.signed(key)] + [np.repeat(table.column(c).to_numpy(), times) for c in ("h", "s0", "s1")]
         if whole:
-            _, place, count = np.unique(key, return_inverse=True, return_counts=True)
-            met = count[place] > 1
+            word = np.repeat(table.column("word").to_numpy(), times).astype(np.int64)
+            nearest = np.zeros(some.shape, bool)
+            nearest[:, 0] = True
+            _, place, rows = np.unique(key, return_inverse=True, return_counts=True)
+            # Texts with one and the same word meet by its nearest codeword alone; the other keys serve different words.
+            kinds = np.unique(np.stack([place, word]), axis=1)
+            words = np.bincount(kinds[0], minlength=len(rows))
+            met = (words[place] > 1) | (nearest[some] & (rows[place] > 1))
             if split is not None:
                 met |= tx.signed(anchor) == split
             columns = [c[met] for c in columns]
