@@ -233,3 +233,41 @@ def _(spark, d):
 @query("ctl3_key_spec", "select * from (values ('a', 9000), ('b', 5000), ('c', 200)) t(key, per_hour)")
 def _(spark, d):
     return spark.createDataFrame(harvest.parse_keys("a:9000, b,c:200"), "key string, per_hour int")
+
+
+# -- lookups against snapshots, resumed labelling ------------------------------------------------------------------------------
+
+
+@query("src2_document_detail", "select c.comment_id, c.attachment_count, f.title, f.comment_url from comments_raw c left join federal_register_comments f on f.document_number = c.document_number")
+def _(spark, d):
+    """Details of each distinct document joined back to its comments."""
+    rows = comments(spark, d).select("comment_id", "attachment_count", "document_number")
+    keys = rows.where("document_number is not null").select("document_number").distinct()
+    details = keys.join(fr(spark, d).select("document_number", "title", "comment_url"), "document_number")
+    return rows.join(details, "document_number", "left").select("comment_id", "attachment_count", "title", "comment_url")
+
+
+@query("src4_comment_totals", "select f.document_number, coalesce(t.n, 0) as total_elements from federal_register_comments f left join (select document_number, count(distinct comment_id) as n from comments_raw group by 1) t on t.document_number = f.document_number where f.regs_document_id is not null")
+def _(spark, d):
+    """Number of comments per document; ids are made distinct first, so that one large docket is no single task."""
+    totals = ids(spark, d).groupBy("document_number").agg(F.count("*").alias("n"))
+    return fr(spark, d).where("regs_document_id is not null").select("document_number").join(totals, "document_number", "left").select("document_number", F.coalesce("n", F.lit(0)).alias("total_elements"))
+
+
+@query("src6_comment_detail", "select comment_id, max(city) as city, max(zip) as zip, max(page_count) as page_count from comments_raw where comment_id is not null group by 1")
+def _(spark, d):
+    """Detail fields of each comment, taken from whichever of its rows has them."""
+    return comments(spark, d).where("comment_id is not null").groupBy("comment_id").agg(F.max("city").alias("city"), F.max("zip").alias("zip"), F.max("page_count").alias("page_count"))
+
+
+@query("sm12_resumed_labels", f"select comment_id, r as model_response from (select comment_id, {_REPLY} as r from {_PROMPT}) p where not exists (select 1 from makeup_results m where m.comment_id = p.comment_id)")
+def _(spark, d):
+    """A second run labels only what the first left over; appending its result any number of times adds nothing twice."""
+    left = comments(spark, d).where("comment_id is not null").join(results(spark, d).select("comment_id"), "comment_id", "left_anti")
+    return labelling.label(left, labelling.KeyWords()).select("comment_id", "model_response")
+
+
+@query("cas2_rule_counts", "select label, count(*) as n from makeup_rules group by 1".replace("makeup_rules", "(select case when model = 'metadata' then 'rule' else 'model' end as label from makeup_results)"))
+def _(spark, d):
+    """Labels by origin: metadata rules or the model."""
+    return results(spark, d).groupBy(F.when(F.col("model") == "metadata", "rule").otherwise("model").alias("label")).agg(F.count("*").alias("n"))

@@ -169,3 +169,17 @@ def test_labelling_retries(spark, comments):
     assert got.keys() == {"1", "3"} and got["1"]["category"] == X.WRITTEN_ORGANIZATION and len(got["3"]["prompt_used"]) == 3000
     structured = labelling.label_structured(table, lambda p: '{"category": "expert", "confidence": 0.9}').first()
     assert structured["category"] == X.EXPERT and structured["confidence"] == 0.9
+
+
+def test_command_line_and_pdf(spark, data, tmp_path):
+    from docketlens.__main__ import run
+
+    told = run(spark, ["sl2_top_three", "no_such_query"], data, str(tmp_path), "json", True)
+    assert told["sl2_top_three"] == "ok" and told["no_such_query"].startswith("KeyError")
+    assert spark.read.json(f"{tmp_path}/sl2_top_three").count() == 3
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf/a.pdf").write_bytes(b"%PDF-1.7 body")
+    (tmp_path / "pdf/b.pdf").write_bytes(b"<html>no</html>")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "pdf"))
+    texts = {r["path"][-5:]: r["text"] for r in harvest.extract_pdf_text(files, lambda b: f"{len(b)} bytes").collect()}
+    assert texts == {"a.pdf": "13 bytes", "b.pdf": None}
