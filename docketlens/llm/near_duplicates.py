@@ -261,7 +261,10 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     x, y = keys.alias("x"), keys.alias("y")
     apart = F.expr(f"cast(bit_count(x.s0 ^ y.s0) + bit_count((x.s1 ^ y.s1) >> {TAG_BITS}) as int)")
     segment = F.expr(f"shiftleft(1, cast(x.s1 & {(1 << TAG_BITS) - 1} as int))")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= sketch_limit(threshold, 3.3)))
+    # A narrow window may be a stock phrase, so that it asks for closer sketches (a true pair that only narrow windows join is lost with p < 0.025).
+    narrow = F.expr(f"(x.s1 & {(1 << TAG_BITS) - 1}) >= {sum(r > 1 for r in REACH)}")
+    limit = F.when(narrow, sketch_limit(threshold, 2.0)).otherwise(sketch_limit(threshold, 3.3))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= limit))
     pairs = met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), apart.alias("apart"), segment.alias("segment")).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bit_or("segment").alias("segments"))
     # One shared segment alone is weak evidence: then the sketches must be closer.
     return pairs.where((F.bit_count("segments") > 1) | (F.col("apart") <= sketch_limit(threshold, 1.6))).select("a", "b")
