@@ -31,7 +31,7 @@ SKETCH_BITS = 128
 #: Low bits of the second sketch half that carry the number of the segment through the join.
 TAG_BITS = 4
 #: Texts of one component that are verified together; larger components are split into blocks of it.
-GROUP_BLOCK = 4000
+GROUP_BLOCK = 10_000
 #: Copies of one text that are named while pairs are verified; texts with more are spread by a join.
 COPIES = 64
 FIELDS = ("comment_text", "attachment_text")
