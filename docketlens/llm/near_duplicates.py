@@ -25,7 +25,7 @@ from docketlens.session import spill
 
 SEGMENTS, ANCHOR = 10, 7
 #: Words around the anchor that a segment's 23 bits depend on: narrow ones survive moved sentences, wide ones tell stock phrases apart.
-REACH = (4, 4, 4, 4, 4, 4, 4, 1, 1, 1)
+REACH = (4, 4, 4, 4, 4, 4, 4, 4, 1, 1)
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
 SKETCH_BITS = 128
 #: Low bits of the second sketch half that carry the number of the segment through the join.
@@ -263,7 +263,7 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     segment = F.expr(f"shiftleft(1, cast(x.s1 & {(1 << TAG_BITS) - 1} as int))")
     # A narrow window may be a stock phrase, so that it asks for closer sketches (a true pair that only narrow windows join is lost with p < 0.025).
     narrow = F.expr(f"(x.s1 & {(1 << TAG_BITS) - 1}) >= {sum(r > 1 for r in REACH)}")
-    limit = F.when(narrow, sketch_limit(threshold, 2.0)).otherwise(sketch_limit(threshold, 3.3))
+    limit = F.when(narrow, sketch_limit(threshold, 2.0)).otherwise(sketch_limit(threshold, 3.0))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= limit))
     pairs = met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), apart.alias("apart"), segment.alias("segment")).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bit_or("segment").alias("segments"))
     # One shared segment alone is weak evidence: then the sketches must be closer.
