@@ -295,7 +295,7 @@ def _sifter(bits: np.ndarray):
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((bits[place >> 5] >> (place & 31)) & 1 == 1)).select(["node", "sh"])
+            yield batch.filter(pa.array((bits[place >> 5] >> (place & 31)) & 1 == 1)).drop_columns(["place"])
 
     return sift
 
@@ -312,12 +312,14 @@ def verified_pairs(texts: DataFrame, threshold: float = THRESHOLD, named: bool =
     cell = lambda low, high: F.xxhash64("component", low, high)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     copies = placed.select("node", "component", "block", other.alias("other")).select("node", cell(F.least("block", "other"), F.greatest("block", "other")).alias("g"))
-    nth = F.row_number().over(Window.partitionBy("h").orderBy("comment_id"))
-    ids = texts.select("field", "h", "comment_id").distinct().withColumn("nth", nth).where(F.col("nth") <= COPIES + 1).groupBy("h").agg(F.first("field").alias("field"), F.collect_list("comment_id").alias("ids"))
-    placed_at = F.pmod(F.xxhash64("node"), F.lit(SIEVE_BITS)).alias("place")
-    stored = texts.where("sh is not null").select(F.col("h").alias("node"), "sh").select("node", "sh", placed_at)
-    stored = stored.mapInArrow(_sifter(sieve(placed.select("node"))), "node long, sh binary")
-    text_rows = copies.join(ids.withColumnRenamed("h", "node"), "node").join(stored, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh", "field", "ids")
+    # Texts without candidates are kept out of the shuffles by the sieve.
+    sift = _sifter(sieve(placed.select("node")))
+    placed_at = F.pmod(F.xxhash64("h"), F.lit(SIEVE_BITS)).alias("place")
+    named_by = texts.select(F.col("h").alias("node"), "field", "comment_id", placed_at).mapInArrow(sift, "node long, field string, comment_id string").distinct()
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("comment_id"))
+    ids = named_by.withColumn("nth", nth).where(F.col("nth") <= COPIES + 1).groupBy("node").agg(F.first("field").alias("field"), F.collect_list("comment_id").alias("ids"))
+    stored = texts.where("sh is not null").select(F.col("h").alias("node"), "sh", placed_at).mapInArrow(sift, "node long, sh binary")
+    text_rows = copies.join(ids, "node").join(stored, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh", "field", "ids")
     # Both ends of a pair are of one component, so that the component comes with one of them.
     left = placed.select(F.col("node").alias("a"), "component", "blocks", F.col("block").alias("x"))
     y = F.expr("pmod(b, blocks)").cast("int")
@@ -337,11 +339,15 @@ def near_duplicate_pairs(comments: DataFrame, threshold: float = THRESHOLD) -> D
     """
     texts = fingerprint_table(comments)
     found = verified_pairs(texts, threshold)
-    member = texts.select("field", "comment_id", "h").distinct()
-    x, y = member.alias("x"), member.alias("y")
+    member = texts.select("field", "comment_id", "h")
+    # Texts that several comments carry: few rows, found by one aggregate.
+    shared = spill(member.groupBy("h").agg(F.min("comment_id").alias("low"), F.max("comment_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("h", "rows"), "p1-shared")
+    carried = member.join(shared, "h").select("field", "comment_id", "h").distinct()
+    x, y = carried.alias("x"), carried.alias("y")
     copies = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comment_id") < F.col("y.comment_id"))).select("x.field", F.col("x.comment_id").alias("i"), F.col("y.comment_id").alias("j"))
     between = found
-    if not member.groupBy("h").count().where(F.col("count") > COPIES).isEmpty():
+    if not shared.where(F.col("rows") > COPIES).isEmpty():
+        member = member.distinct()
         between = spill(found, "p1-pairs")
         hot = between.where("i is null").select("a", "b").distinct()
         m1 = member.select(F.col("h").alias("a"), "field", F.col("comment_id").alias("p"))
