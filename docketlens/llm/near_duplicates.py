@@ -341,7 +341,7 @@ def near_duplicate_pairs(comments: DataFrame, threshold: float = THRESHOLD) -> D
     found = verified_pairs(texts, threshold)
     member = texts.select("field", "comment_id", "h")
     # Texts that several comments carry: few rows, found by one aggregate.
-    shared = spill(member.groupBy("h").agg(F.min("comment_id").alias("low"), F.max("comment_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("h", "rows"), "p1-shared")
+    shared = spill(member.groupBy("h").agg(F.min(F.xxhash64("comment_id")).alias("low"), F.max(F.xxhash64("comment_id")).alias("high"), F.count("*").alias("rows")).where("low < high").select("h", "rows"), "p1-shared")
     carried = member.join(shared, "h").select("field", "comment_id", "h").distinct()
     x, y = carried.alias("x"), carried.alias("y")
     copies = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comment_id") < F.col("y.comment_id"))).select("x.field", F.col("x.comment_id").alias("i"), F.col("y.comment_id").alias("j"))
@@ -357,7 +357,7 @@ def near_duplicate_pairs(comments: DataFrame, threshold: float = THRESHOLD) -> D
         between = between.where("i is not null")
     both = between.select("field", "i", "j").unionByName(copies)
     # A comment whose repeats differ in text can meet another comment twice.
-    repeated = texts.groupBy("field", "comment_id").agg(F.countDistinct("h").alias("n")).where("n > 1")
+    repeated = texts.groupBy(F.xxhash64("field", "comment_id").alias("key")).agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
     if not repeated.isEmpty():
         both = both.distinct()
     return both.select("field", F.col("i").alias("comment_id_a"), F.col("j").alias("comment_id_b"))
