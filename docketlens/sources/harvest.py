@@ -195,10 +195,12 @@ def memo_lookup(df, key: str, lookup: Callable[[str], dict | None], schema: str)
 def extract_pdf_text(files, extractor: Callable[[bytes], str | None] | None = None, max_pages: int = 2):
     """(path, text) of binary files that begin like a PDF; without an extractor the text is NULL.  HTML answers are rejected."""
     import pandas as pd
-    from pyspark.sql import functions as F
 
-    @F.pandas_udf("string")
-    def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: extractor(bytes(b)) if extractor and b is not None and bytes(b[:5]).startswith(b"%PDF") else None)
+    def text(b) -> str | None:
+        return extractor(bytes(b)) if extractor and b is not None and bytes(b[:5]).startswith(b"%PDF") else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "text": [text(b) for b in batch["content"]], "max_pages": max_pages})
 
-    return files.select("path", text("content").alias("text"), F.lit(max_pages).alias("max_pages"))
+    return files.select("path", "content").mapInPandas(run, "path string, text string, max_pages int")
