@@ -47,9 +47,15 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+_PAGE_PART = re.compile(r"^\s*\d{1,4}\s*\|\s*|\s{2,}(?:page|p\.|seite|página)?\s*\d{1,4}\s*$|\s*\|\s*(?:page|p\.)?\s*\d{1,4}\s*$", re.IGNORECASE)
+_TAIL = re.compile(r"^[^\W\d_A-Z].*[.!?,;:]$")
+
+
 def fold(line: str) -> str:
-    """A line without numbers and with look-alike characters made equal, to compare furniture lines read differently."""
-    text = re.sub(r"\b\d+\b|\bpage\b|[|—–-]", " ", line.lower())
+    """A line without its page number and with look-alike characters made equal, to compare furniture lines read differently; empty for the end of a sentence."""
+    if _TAIL.match(line.strip()):
+        return ""
+    text = re.sub(r"[|—–-]", " ", _PAGE_PART.sub("", line.lower()))
     for read, printed in _FOLD:
         text = text.replace(read, printed)
     return re.sub(r"[^\w]+", "", text.translate(_FOLD_CHARS))
