@@ -118,4 +118,10 @@ SQL: dict[str, str] = {
     "p2_percentiles": _RANKED.format(value="comment_count"),
     "p2_merged_percentiles": _RANKED.format(value=_BITS),
     "p2_yearly_partials": f"select agency, submission_channel, substring(publication_date, 1, 4) as year, {_BITS} as value, count(*) as n from federal_register_comments where comment_count is not null group by 1, 2, 3, 4",
+    "p9_found": """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),
+dw as (select doc_id, array_to_string(w[k:k + 11], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12)),
+iw as (select item_id, array_to_string(w[k:k + 11], ' ') as win from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12))
+select distinct doc_id, item_id from dw join iw using (win)""",
 }

@@ -364,7 +364,8 @@ def test_columns_of_found_queries(spark, data):
 
 def test_oracle_statements(spark, data):
     con = duckdb.connect()
-    con.execute(f"create view federal_register_comments as select * from '{data}/federal_register_comments.parquet'")
+    for table in ("federal_register_comments", "documents", "eval_items"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, data)
         cursor = con.execute(sql)
