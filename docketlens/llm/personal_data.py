@@ -55,6 +55,11 @@ _CAP = rf"[^\W\d_a-zß-öø-ÿ]{_L}*(?:['’-][^\W\d_]{_L}*)*"
 _NAME = re.compile(
     rf"(?:(?P<title>(?:Mr|Mrs|Ms|Miss|Dr|Prof|Rev|Sr|Sra|Herr|Frau|Mme|Mx)\.?){_GAP}+)?(?P<one>{_CAP}\.?)(?:{_GAP}+[\"“'(](?P<nick>{_CAP})[\"”')])?(?P<mid>(?:{_GAP}+[A-Z]\.?(?![\w'’]))?)(?P<comma>,?)(?:{_GAP}+(?P<two>{_CAP}))?"
 )
+# A word in small letters, the word after it, and a title or an initial before it.
+_SMALL = rf"[a-zß-öø-ÿ]{_L}*(?:['’-][^\W\d_]{_L}*)*"
+_SMALL_WORD = re.compile(rf"(?<![\w'’.@-]){_SMALL}(?!\w)")
+_SMALL_NEXT = re.compile(rf"(?P<comma>,?)(?:{_GAP}+[a-z]\.?(?![\w'’]))?{_GAP}+(?P<two>{_SMALL})(?![\w@])")
+_SMALL_BEFORE = re.compile(rf"(?<![\w'’.])(?:(?P<title>mr|mrs|ms|miss|dr|prof|rev|sr|sra|herr|frau|mme|mx)\.?|(?P<initial>[a-z])\.){_GAP}+$")
 # What follows the name of a law, place, street or organisation.
 _NOT_PERSON = frozenset(
     "act doctrine rule bridge park street st avenue ave road rd lane ln court ct terrace drive dr boulevard blvd way place circle cir parkway pkwy highway river lake creek valley county city town falls springs junction port hill hills "
@@ -199,6 +204,63 @@ def find_names(text: str, taken: list[tuple[int, int]], ordinary: frozenset[str]
     return out
 
 
+_BREAK = re.compile(r"<br ?/?>")
+_SMALL_TITLE = re.compile(r"(?:(?<![\w'’.])(?:mr|mrs|ms|miss|dr|prof|rev|sr|sra|herr|frau|mme|mx|[a-z]\.)\.?)$")
+_SMALL_RUN = re.compile(rb"\x01[\x02\x03]?\x01|\x02\x01")
+
+
+class SmallSigns(dict):
+    """token -> 1 with a rare word in small letters, 2 a title or an initial, 3 a lone letter, 0 else; a bounded memo."""
+
+    def __init__(self, ordinary: frozenset[str]):
+        super().__init__()
+        self.ordinary = ordinary
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        rare = any(len(w) > 2 and w.islower() and w not in self.ordinary for w in _SMALL_WORD.findall(token))
+        self[token] = value = 1 if rare else 2 if _SMALL_TITLE.search(token) else 3 if len(token) == 1 and token.isalpha() else 0
+        return value
+
+    def near(self, text: str) -> bool:
+        """Whether two such words, or a title and one, stand side by side; most texts end here."""
+        tokens = (_BREAK.sub(" ", text) if "<br" in text else text).split()
+        return _SMALL_RUN.search(bytes(map(self.__getitem__, tokens))) is not None
+
+
+def find_small_names(text: str, taken: list[tuple[int, int]], ordinary: frozenset[str]) -> list[tuple[int, int, str, str, str, str]]:
+    """As find_names, of runs of words in small letters that are no ordinary words."""
+    out, at = [], 0
+    for found in _SMALL_WORD.finditer(text):
+        start, end, one = found.start(), found.end(), found.group()
+        if one in ordinary or start < at or len(one) < 3 or not one.islower():
+            continue
+        before = _SMALL_BEFORE.search(text, max(0, start - 10), start)
+        more = _SMALL_NEXT.match(text, end)
+        two = more.group("two") if more else None
+        if two and (two in ordinary or len(two) < 3 or not two.islower() or more.group("comma") and "\n" in more.group()):
+            two = None
+        if two:
+            # "neighbor, given family": the word before the comma is no family name.
+            if more.group("comma") and (third := _SMALL_NEXT.match(text, more.end())) and not third.group("comma") and len(third.group("two")) > 2 and third.group("two") not in ordinary:
+                continue
+            given, family, form, stop = (two, one, "small reversed", more.end()) if more.group("comma") else (one, two, "small full", more.end())
+            shapes = [(start, stop, given, family, form)]
+        else:
+            shapes = []
+        # The word after a title or an initial may be a family name whatever follows it.
+        if before:
+            shapes.append((before.start(), end, before.group("initial") or "", one, "small title" if before.group("title") else "small initial"))
+        for start, stop, given, family, form in shapes:
+            if _odd(given) or _odd(family) or any(start < e and s < stop for s, e in taken):
+                continue
+            follow = re.match(r"[ \t]+(\S+)", text[stop : stop + 30])
+            out.append((start, stop, given, family, form, follow.group(1).rstrip(",.;:)").lower() if follow else ""))
+            at = max(at, stop)
+    return out
+
+
 _CAND = pa.schema(
     [("field", pa.string()), ("comment_id", pa.string()), ("kind", pa.string()), ("place", pa.int32()), ("size", pa.int32()), ("instance", pa.string()), ("given", pa.string()), ("family", pa.string()), ("form", pa.string()), ("lft", pa.string()), ("rgt", pa.string()), ("score", pa.float64())]
 )
@@ -207,6 +269,7 @@ _CAND_SQL = "field string, comment_id string, kind string, place int, size int,
 
 def _candidates(ordinary: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = SmallSigns(ordinary)
         for batch in batches:
             ids = batch.column("comment_id").to_pylist()
             out: tuple[list, ...] = tuple([] for _ in _CAND)
@@ -216,7 +279,10 @@ def _candidates(ordinary: frozenset[str]):
                         continue
                     found = find_numbers(text)
                     rows = [(kind, s, e, "".join(c for c in text[s:e].lower() if c.isalnum()), None, None, form, score) for kind, s, e, form, score in found]
-                    for s, e, given, family, form, word in find_names(text, [(s, e) for _, s, e, _, _ in found], ordinary):
+                    names = find_names(text, taken := [(s, e) for _, s, e, _, _ in found], ordinary)
+                    if signs.near(text):
+                        names += find_small_names(text, taken + [(s, e) for s, e, *_ in names], ordinary)
+                    for s, e, given, family, form, word in names:
                         rows.append(("name", s, e, f"{given} {family}".strip(), given, family, form, 0.0 if word in _NOT_PERSON or family in _NOT_PERSON else None))
                     for kind, s, e, instance, given, family, form, score in rows:
                         before, after = context(text, s, e)
@@ -285,17 +351,21 @@ def personal_items(comments: DataFrame) -> DataFrame:
     body = (F.col("og").isNotNull() & F.col("g_n").isNull()) | (F.col("of").isNotNull() & F.col("f_n").isNull())
     both = F.col("g_n").isNotNull() & F.col("f_n").isNotNull()
     # A given name of many commenters and an unknown capitalised word are likely, but not certain.
-    prior = F.when((F.col("score") == 0.0) | body, 0.0).when(both & (F.col("form") != "initial"), 1.0).when((F.col("form") == "title") & F.col("f_n").isNotNull(), 1.0)
+    initial = F.col("form").endswith("initial")
+    prior = F.when((F.col("score") == 0.0) | body, 0.0).when(both & ~initial, 1.0).when(F.col("form").endswith("title") & F.col("f_n").isNotNull(), 1.0)
     prior = prior.when((F.col("g_n") >= 5) & F.col("form").isin("full", "reversed"), 0.6).when((F.col("f_n") >= 3) & F.col("form").isin("full", "reversed"), 0.5)
-    known = (F.col("g_n").isNotNull() & (F.col("form") != "initial")) | F.col("f_n").isNotNull()
+    known = (F.col("g_n").isNotNull() & ~initial) | F.col("f_n").isNotNull()
     # The form tells whether any part is known: unknown names earn trust of their own.
     named = named.withColumn("score", prior).withColumn("form", F.when(known, F.col("form")).otherwise(F.concat("form", F.lit(" unknown")))).select(*candidates.columns)
     rows = candidates.where("kind <> 'name'").unionByName(named).withColumn("row", F.monotonically_increasing_id())
     rows = spill(rows, "p5-rows")
     # Patterns: the words before, the words after, and the form.  One instance counts once per pattern.
     last_two = lambda c: F.regexp_extract(c, r"(\S+ ?\S*)$", 1)
-    pattern = F.explode(F.array(F.concat(F.lit("L "), last_two(F.col("lft"))), F.concat(F.lit("LL "), F.col("lft")), F.concat(F.lit("R "), F.col("rgt")), F.concat(F.lit("S "), F.col("form"))))
-    links = spill(rows.select("kind", "instance", "score", pattern.alias("pattern")).groupBy("kind", "instance", "pattern").agg(F.max("score").alias("seed")), "p5-links")
+    # Rare words in small letters of which none is a known name (typos, mostly) teach nothing; only what trusted patterns precede is taken.
+    unproved = F.col("form").startswith("small ") & F.col("form").endswith(" unknown")
+    lefts = [F.concat(F.lit("L "), last_two(F.col("lft"))), F.concat(F.lit("LL "), F.col("lft"))]
+    pattern = F.explode(F.when(unproved, F.array(*lefts)).otherwise(F.array(*lefts, F.concat(F.lit("R "), F.col("rgt")), F.concat(F.lit("S "), F.col("form")))))
+    links = spill(rows.where(~unproved).select("kind", "instance", "score", pattern.alias("pattern")).groupBy("kind", "instance", "pattern").agg(F.max("score").alias("seed")), "p5-links")
     belief = links.groupBy("kind", "instance").agg(F.max("seed").alias("seed")).withColumn("belief", F.col("seed"))
     trust = None
     for number in range(ROUNDS):

@@ -194,6 +194,16 @@ def test_personal_data(comments):
     assert personal_data.fields_with_items(comments([])).count() == 0
 
 
+def test_names_in_small_letters(comments):
+    given, family = ["Maria", "Peter", "Chidi", "Bao", "Helen"], ["Falkumphrey", "Ostiyama", "Dwebarelli", "Jarrowitz", "Kelmandez"]
+    rows = [{"comment_id": f"p{i}", "first_name": given[i % 5], "last_name": family[(i // 5) % 5], "comment_text": f"We object to the rule in every way. Sincerely, {given[i % 5]} {family[(i // 5) % 5]}"} for i in range(50)]
+    cases = ["We object to the rule. Sincerely,\nmaria kelmandez", "The crew chief, chidi jarrowitz, can confirm", "We object. Sincerely, helen vostangulo", "We object. Sincerely, zhanna vostangulo", "ostiyama, helen", "dr. falkumphrey spoke", "all small, no capitals. bao m. dwebarelli"]
+    none = ["We object to the grazng alotment in every way", "Sincerely, the neighbors", "They object to maria in every way", "x@y, thanks"]
+    rows += [{"comment_id": f"{k}{i}", "attachment_text": t} for k, ts in (("name", cases), ("none", none)) for i, t in enumerate(ts)]
+    got = {r["comment_id"] for r in personal_data.fields_with_items(comments(rows)).collect() if r["field"] == "attachment_text"}
+    assert got == {f"name{i}" for i in range(len(cases))}
+
+
 # -- p6 ------------------------------------------------------------------------------------------------------------
 
 
