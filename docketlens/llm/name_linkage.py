@@ -26,8 +26,6 @@ from docketlens.session import discard, spill
 Q, RECALL = 3, 0.99
 #: Per kind: the least q-gram similarity of a variant to the usual spelling, and min-hashes per band.
 TUNED = {"organization": (0.6, 6), "person": (0.48, 3)}
-#: A token of more organisation names than this share (and number) says nothing about which one is meant; at most tokens-per-name / share tokens can be so common.
-COMMON_SHARE, COMMON_NAMES = 0.01, 300
 MEAN_SIMILARITY, TOKEN_SIMILARITY = 0.84, 0.68
 
 # Values that name nobody.
@@ -201,7 +199,7 @@ _NAME = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("zip5", pa.string
 _NAME_SQL = "id long, kind string, zip5 string, name string, n long, keys array<long>"
 
 
-def _signer(common: frozenset[str]):
+def _signer():
     number = {kind: bands(kind) for kind in TUNED}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +207,7 @@ def _signer(common: frozenset[str]):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for kind, zip5, name, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "zip5", "name", "n"))):
                 if kind == "organization":
-                    tokens, forms = organisation_tokens(name)
-                    tokens = [t for t in tokens if t not in common] or tokens
+                    tokens, _ = organisation_tokens(name)
                 else:
                     tokens = person_tokens(*name.split("|", 1))
                     tokens = tokens if len(tokens) > 1 else []
@@ -224,15 +221,6 @@ def _signer(common: frozenset[str]):
     return sign
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[str, int] = {}
-        for name in batch.column("name").to_pylist():
-            for token in set(organisation_tokens(name)[0]):
-                counts[token] = counts.get(token, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-
-
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -253,14 +241,6 @@ def stored_names(comments: DataFrame) -> DataFrame:
     return organisations.select(F.lit("organization").alias("kind"), F.lit("").alias("zip5"), "name", "n").unionByName(people.select(F.lit("person").alias("kind"), "zip5", "name", "n"))
 
 
-def common_tokens(names: DataFrame) -> frozenset[str]:
-    """Tokens of very many organisation names; their number is bounded by COMMON_SHARE."""
-    organisations = names.where("kind = 'organization'")
-    total = organisations.count()
-    counts = organisations.select("name").mapInArrow(_token_batches, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return frozenset(r[0] for r in counts.where(F.col("n") > max(COMMON_NAMES, COMMON_SHARE * total)).select("token").toLocalIterator())
-
-
 def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, center): star clustering.
 
@@ -295,7 +275,7 @@ def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
 def linked_names(comments: DataFrame) -> DataFrame:
     """p6: one row per stored spelling that has a variant: kind, zip5, name, entity (the spelling at the star's center) and the number of spellings."""
     stored = spill(stored_names(comments), "p6-stored")
-    names = spill(stored.mapInArrow(_signer(common_tokens(stored)), _NAME_SQL), "p6-names")
+    names = spill(stored.mapInArrow(_signer(), _NAME_SQL), "p6-names")
     keys = names.select("id", F.explode("keys").alias("key"))
     x, y = keys.alias("x"), keys.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

@@ -223,6 +223,16 @@ def test_names_are_linked(comments):
     assert all(1 - (1 - s**r) ** name_linkage.bands(k) >= 0.99 for k, (s, r) in name_linkage.TUNED.items())
 
 
+def test_common_words_keep_short_names_together(comments):
+    """Words of very many organisations stay in the q-grams: short cores with a mistyped common word still meet."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = [(f"{core} growers", f"{core} growrs") for core in {letters(6) for _ in range(40)}]
+    others = [f"{letters(9)} growers" for _ in range(400)]
+    got = {tuple(r)[2:] for r in name_linkage.name_pairs(comments([{"comment_id": f"c{i}", "organization": o} for i, o in enumerate([*(x for p in pairs for x in p), *others])])).collect()}
+    assert got >= set(pairs)
+
+
 def test_star_clusters_take_the_greatest_center(spark):
     names = spark.createDataFrame([(i, 1) for i in range(8)], "id long, n long")
     edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (3, 4), (5, 6)], "a long, b long")
