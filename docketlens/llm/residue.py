@@ -84,6 +84,8 @@ _TURNS = (
 _TURN_WORDS = frozenset("found available be longer couldn requests limit retry sign try broken moved permission connection traffic browser sample here come follow soon replace paragraph replaced".split())
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT, CHROME = "placeholder", "filler", "error_page", "script_notice", "chrome"
+#: A whole sentence of dummy Latin: filler wherever it stands.
+LATIN, LATIN_WORDS = "latin", 5
 
 
 def has_slot(message: str) -> bool:
@@ -116,10 +118,8 @@ def classify(message: str, masked: str, words: list[str]) -> str | None:
     distinct = set(words)
     if len(words) >= 3 and len(distinct) == 1 or len(words) >= 6 and len(distinct) <= 2 and not words[0].isdigit():
         return FILLER
-    if len(words) >= 3 and len(distinct & _LATIN) >= 0.6 * len(distinct):
-        return FILLER
-    if len(words) > 45:
-        return None
+    if len(words) >= 3 and len(latin := distinct & _LATIN) >= 0.6 * len(distinct):
+        return LATIN if len(latin) >= LATIN_WORDS else FILLER
     if len(words) <= 8 and _CHROME.search(masked):
         return CHROME
     if distinct.isdisjoint(_TRIGGER) and (distinct.isdisjoint(_TURN_WORDS) or not any(turn in masked for turn in _TURNS)):
@@ -164,23 +164,29 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def residue_kinds(documents: DataFrame) -> DataFrame:
     """p10: distinct (doc_id, kind) of documents that hold residue.
 
-    NULL and empty texts have none.  A placeholder counts wherever it stands; a
-    message of the other kinds must make up SHARE_RECURRING of the document's
-    words if its masked form occurs in several documents and sources, else SHARE_SINGLE.
+    NULL and empty texts have none.  A placeholder and a sentence of dummy Latin
+    count wherever they stand; messages of the other kinds must make up
+    SHARE_RECURRING of the document's words if their masked forms occur in several
+    documents and sources, else SHARE_SINGLE.  A recurring message that makes up so
+    much of one document counts wherever else it stands.
     """
     messages = spill(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_messages, _MSG_SQL), "p10-messages")
     # One row per message and source first, so that a message in a third of all documents meets the shuffle as a few rows.
     by_source = messages.where(F.col("kind").isNotNull()).groupBy("h", "source").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     recurring = by_source.groupBy("h").agg(F.count("*").alias("sources"), (F.max("high") > F.min("low")).alias("several")).where("several and sources > 1").select("h", F.lit(1).alias("recurs"))
     kinds = messages.groupBy("doc_id", "h", "kind").agg(F.sum("words").alias("words"))
-    marked = kinds.where(F.col("kind").isNotNull()).join(recurring, "h", "left")
+    marked = kinds.where(F.col("kind").isNotNull()).join(recurring, "h", "left").withColumn("sure", F.col("kind").isin(LATIN, PLACEHOLDER))
+    marked = marked.withColumn("kind", F.when(F.col("kind") == LATIN, FILLER).otherwise(F.col("kind")))
     plain = kinds.where(F.col("kind").isNull()).groupBy("doc_id").agg(F.sum("words").alias("prose"))
-    per_kind = marked.groupBy("doc_id", "kind").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("recurs") == 1, F.col("words")).otherwise(0)).alias("recurring"))
+    per_kind = marked.groupBy("doc_id", "kind").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("recurs") == 1, F.col("words")).otherwise(0)).alias("recurring"), F.max("sure").alias("sure"))
     telling = per_kind.where(F.col("kind") != CHROME)
     total = telling.groupBy("doc_id").agg(F.sum("words").alias("residue"))
     shares = telling.join(total, "doc_id").join(plain, "doc_id", "left").withColumn("all", F.col("residue") + F.coalesce("prose", F.lit(0)))
-    enough = (F.col("kind") == PLACEHOLDER) | (F.col("recurring") >= F.col("all") * SHARE_RECURRING) | (F.col("words") >= F.col("all") * SHARE_SINGLE)
-    return shares.where(enough).select("doc_id", "kind")
+    much = (F.col("recurring") >= F.col("all") * SHARE_RECURRING) | (F.col("words") >= F.col("all") * SHARE_SINGLE)
+    judged = spill(shares.select("doc_id", "kind", "sure", much.alias("much")).where("sure or much"), "p10-judged")
+    notices = marked.where((F.col("recurs") == 1) & ~F.col("kind").isin(CHROME, PLACEHOLDER)).select("doc_id", "h", "kind")
+    proven = notices.join(judged.where("much").select("doc_id", "kind"), ["doc_id", "kind"]).select("h", "kind").distinct()
+    return judged.select("doc_id", "kind").unionByName(notices.join(proven, ["h", "kind"]).select("doc_id", "kind")).distinct()
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

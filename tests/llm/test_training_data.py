@@ -369,6 +369,16 @@ def test_residue(documents):
     assert residue.residue_kinds(documents([])).count() == 0
 
 
+def test_residue_within_longer_texts(documents):
+    real = "The panel heard that every phased grant formula draws attention to the tribal water right. Nobody objected to it at the hearing in the upper basin. "
+    notice = "Please enable JavaScript to view this page."
+    latin = "Nostrud aliqua dolor duis magna ullamco amet cupidatat."
+    error = "The requested document could not be retrieved from this server " + "and the clerk of the docket is to be asked for it in writing " * 4
+    texts = {1: notice, 2: notice, 3: real * 3 + notice, 4: real * 3 + latin, 5: error, 6: real, 7: real * 3 + "Et in fine, non."}
+    got = {tuple(r) for r in residue.residue_kinds(documents([{"doc_id": i, "text": t, "source": "ab"[i % 2]} for i, t in texts.items()])).collect()}
+    assert got == {(1, "script_notice"), (2, "script_notice"), (3, "script_notice"), (4, "filler"), (5, "error_page")}
+
+
 # -- queries ---------------------------------------------------------------------------------------------------------
 
 
