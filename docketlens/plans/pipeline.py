@@ -81,10 +81,9 @@ def _(spark, d):
 
 @query("sm6_document_vectors")
 def _(spark, d):
-    """Word vectors of one docket class of comments (trained at small size for speed)."""
+    """Unit vectors of all comments with text, by word vectors trained on them."""
     texts = comments(spark, d).where("comment_text is not null").select("comment_id", "comment_text")
-    v = density.document_vectors(texts, "comment_id", "comment_text", size=32, rounds=1)
-    return v.select("comment_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+    return density.document_vectors(texts, "comment_id", "comment_text")
 
 
 @query("sm7_pilot_size", "with n as (select vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings), s as (select coalesce(stddev_pop(norm), 0) as sigma from (select norm from n order by md5('42:' || vec_id) limit 500)), p as (select count(*) as population from embeddings) select population, round(sigma, 6) as sigma, cast(greatest(1, least(population, ceil(3.291::double * 3.291 * sigma * sigma / 0.0025 / (1 + (3.291::double * 3.291 * sigma * sigma / 0.0025 - 1) / population)))) as bigint) as n from s, p")

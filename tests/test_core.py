@@ -183,3 +183,12 @@ def test_command_line_and_pdf(spark, data, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path / "pdf"))
     texts = {r["path"][-5:]: r["text"] for r in harvest.extract_pdf_text(files, lambda b: f"{len(b)} bytes").collect()}
     assert texts == {"a.pdf": "13 bytes", "b.pdf": None}
+
+
+def test_document_vectors_have_full_size(spark, data):
+    from docketlens.plans import registry
+
+    df = registry.queries()["sm6_document_vectors"](spark, data)
+    rows = df.limit(20).collect()
+    assert df.columns == ["comment_id", "vector"] and rows
+    assert all(len(r["vector"]) == 300 for r in rows)
