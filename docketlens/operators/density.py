@@ -7,17 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer, Word2Vec
+from pyspark.ml.feature import Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.functions import exprs as X
 from docketlens.operators.sampling import SEED, weighted_draw
 from docketlens.session import spill
 
-#: Bytes of vectors that may be sent to every task for exact neighbours; beyond it neighbours come from hashing.
-SENT_BYTES = 64 << 20
+#: Bytes of vectors that may be sent to every task for exact neighbours; beyond it blocks of so many bytes meet pairwise.
+SENT_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
 
 
 def document_vectors(texts: DataFrame, key: str, text: str, size: int = 300, window: int = 5, min_count: int = 2, rounds: int = 5) -> DataFrame:
@@ -40,18 +40,42 @@ def _neighbours(matrix: np.ndarray, k: int):
     return run
 
 
+def _unit(table: pa.Table, d: int) -> np.ndarray:
+    rows = np.array(table.column("vector").to_pylist(), dtype=np.float32).reshape(table.num_rows, d)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def _nearest_of_block(k: int, d: int):
+    """The k + 1 least distances (one is the vector's own) of each left vector to the right block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        near: list = []
+        if left.num_rows and right.num_rows:
+            unit, others = _unit(left, d), _unit(right, d)
+            keep = min(k + 1, len(others))
+            for at in range(0, len(unit), 256):
+                near.extend(np.partition(1 - unit[at : at + 256] @ others.T, keep - 1, axis=1)[:, :keep].tolist())
+        ids = left.column("id") if near else pa.array([], pa.int64())
+        return pa.table({"id": ids, "near": pa.array(near, pa.list_(pa.float32()))})
+
+    return run
+
+
 def mean_neighbour_distance(vectors: DataFrame, k: int) -> DataFrame:
-    """(id, distance): mean cosine distance to the k nearest others, exact while the vectors fit SENT_BYTES, else over hashed candidates."""
+    """(id, distance): mean cosine distance to the k nearest others, exact at every size: against all vectors while they fit SENT_BYTES, else block by block."""
     dims = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     if dims["n"] * (dims["d"] or 0) * 4 <= SENT_BYTES:
         matrix = np.array([r[0] for r in vectors.select("vector").toLocalIterator()], dtype=np.float32).reshape(dims["n"], dims["d"] or 0)
         return vectors.select("id", "vector").mapInArrow(_neighbours(matrix, min(k, dims["n"] - 1)), "id long, distance double")
-    unit = Normalizer(inputCol="v", outputCol="u", p=2.0).transform(vectors.select("id", array_to_vector("vector").alias("v")))
-    lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.5, numHashTables=4, seed=SEED).fit(unit)
-    near = lsh.approxSimilarityJoin(unit, unit, 1.2, "e").where("datasetA.id <> datasetB.id").select(F.col("datasetA.id").alias("id"), (F.col("e") * F.col("e") / 2).alias("c"))
-    nearest = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("c"))).where(F.col("r") <= k)
-    found = nearest.groupBy("id").agg(F.avg("c").alias("distance"))
-    return vectors.select("id").join(found, "id", "left").select("id", F.coalesce("distance", F.lit(1.0)).alias("distance"))
+    k, d = min(k, dims["n"] - 1), dims["d"]
+    number = -(-dims["n"] * d * 4 // BLOCK_BYTES)
+    every = F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    blocks = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("block"))
+    left = blocks.select("id", "vector", F.col("block").alias("a"), every.alias("b"))
+    right = blocks.select("vector", F.col("block").alias("b"), every.alias("a"))
+    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_nearest_of_block(k, d), "id long, near array<float>")
+    least = near.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 2, k).alias("near"))
+    return least.select("id", F.aggregate("near", F.lit(0.0), lambda s, x: s + x, lambda s: s / k).alias("distance"))
 
 
 def density_sample(vectors: DataFrame, n: int, k: int = 50) -> DataFrame:

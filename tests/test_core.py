@@ -192,3 +192,17 @@ def test_document_vectors_have_full_size(spark, data):
     rows = df.limit(20).collect()
     assert df.columns == ["comment_id", "vector"] and rows
     assert all(len(r["vector"]) == 300 for r in rows)
+
+
+def test_neighbours_are_exact_in_blocks(spark, monkeypatch):
+    import random
+
+    from docketlens.operators import density
+
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(300)], "id long, vector array<float>")
+    whole = {r["id"]: r["distance"] for r in density.mean_neighbour_distance(vectors, 10).collect()}
+    monkeypatch.setattr(density, "SENT_BYTES", 0)
+    monkeypatch.setattr(density, "BLOCK_BYTES", 20000, raising=False)
+    blocks = {r["id"]: r["distance"] for r in density.mean_neighbour_distance(vectors, 10).collect()}
+    assert blocks.keys() == whole.keys() and all(abs(blocks[i] - whole[i]) < 1e-5 for i in whole)
