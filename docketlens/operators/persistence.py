@@ -32,12 +32,12 @@ def write_json(row: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Header, quoted fields over several lines, explicit types; the empty field is NULL."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "").option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("header", True).option("lineSep", "\n").option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:

@@ -206,3 +206,14 @@ def test_neighbours_are_exact_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(density, "BLOCK_BYTES", 20000, raising=False)
     blocks = {r["id"]: r["distance"] for r in density.mean_neighbour_distance(vectors, 10).collect()}
     assert blocks.keys() == whole.keys() and all(abs(blocks[i] - whole[i]) < 1e-5 for i in whole)
+
+
+def test_csv_keeps_carriage_returns(spark, tmp_path):
+    from docketlens.plans import registry
+
+    texts = ["a\r\nb", "a\rb", "\rfirst", "last\r", 'say "x"\r, y', "plain", "two\nlines", None]
+    schema = "comment_id string, comment_text string, attachment_count long, has_attachments boolean"
+    rows = [(str(i), t, i, True) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/comments_raw.parquet")
+    got = registry.queries()["src9_csv_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
