@@ -12,12 +12,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, permutations
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.llm import textops as tx
@@ -153,19 +154,23 @@ def monge_elkan(a: list[str], b: list[str], similarity) -> tuple[float, float]:
     return sum(best) / len(best), min(best)
 
 
-def same_organisation(a: str, b: str) -> bool:
-    (x, x_forms), (y, y_forms) = organisation_tokens(a), organisation_tokens(b)
-    if not x or not y:
-        return False
+def same_organisation(x: list[str], x_forms: list[str], y: list[str], y_forms: list[str]) -> bool:
+    """Whether two organisations, given by their telling tokens and legal forms, are one."""
     # Different legal forms are different bodies, unless one name leaves the form out.
     if x_forms and y_forms and not set(x_forms) & set(y_forms):
         return False
     forward, back = monge_elkan(x, y, token_similarity), monge_elkan(y, x, token_similarity)
     if min(forward[0], back[0]) >= MEAN_SIMILARITY and min(forward[1], back[1]) >= TOKEN_SIMILARITY:
         return True
-    # Words run together or cut apart.
-    one, other = "".join(x), "".join(y)
-    return abs(len(one) - len(other)) <= 2 and letters_apart(one, other) <= 4 and abs(len(x) - len(y)) <= 2 and max(forward[0], back[0]) >= 0.3 and distance(one, other) <= 2
+    # Words run together or cut apart, in any order: compare what is not shared.
+    rest, other = ([t for t in s if t not in o] for s, o in ((x, set(y)), (y, set(x))))
+    if abs(len(x) - len(y)) > 2 or not rest or not other or max(forward[0], back[0]) < 0.3:
+        return False
+    one, two = "".join(rest), "".join(other)
+    if abs(len(one) - len(two)) > 2 or letters_apart(one, two) > 4:
+        return False
+    orders = permutations(rest) if len(rest) <= 3 else [rest]
+    return any(distance("".join(o), "".join(p)) <= 2 for o in orders for p in (permutations(other) if len(other) <= 3 else [other]))
 
 
 def given_similarity(a: str, b: str) -> float:
@@ -195,8 +200,40 @@ def same_person(a: list[str], b: list[str]) -> bool:
     return False
 
 
-_NAME = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("zip5", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_NAME_SQL = "id long, kind string, zip5 string, name string, n long, keys array<long>"
+_NODE = pa.schema([("node", pa.int64()), ("bag", pa.int64()), ("kind", pa.string()), ("zip5", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("tokens", pa.string())])
+_NODE_SQL = "node long, bag long, kind string, zip5 string, name string, n long, tokens string"
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each stored spelling, and what they make it part of.
+
+    A *node* holds the spellings that read the same (tokens and legal forms; of
+    persons, tokens in order), so that they need no comparison.  A *bag* holds the
+    nodes with the same tokens in any order, which have one min-hash signature.
+    """
+    for batch in batches:
+        out: tuple[list, ...] = tuple([] for _ in _NODE)
+        for kind, zip5, name, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "zip5", "name", "n"))):
+            if kind == "organization":
+                tokens, forms = organisation_tokens(name)
+            else:
+                tokens, forms = person_tokens(*name.split("|", 1)), []
+                tokens = tokens if len(tokens) > 1 else []
+            if not tokens:
+                continue
+            ordered, text = " ".join(sorted(tokens)), " ".join(tokens)
+            told = " ".join(sorted(set(forms)))
+            node = _hash(kind, zip5, ordered if kind == "organization" else text, told)
+            for column, value in zip(out, (node, _hash(kind, zip5, ordered), kind, zip5, name, n, f"{text}|{told}")):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _NODE.types)], schema=_NODE)
+
+
+_KEYS = pa.schema([("bag", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def _signer():
@@ -204,19 +241,8 @@ def _signer():
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for kind, zip5, name, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "zip5", "name", "n"))):
-                if kind == "organization":
-                    tokens, _ = organisation_tokens(name)
-                else:
-                    tokens = person_tokens(*name.split("|", 1))
-                    tokens = tokens if len(tokens) > 1 else []
-                if not tokens:
-                    continue
-                identity = xxhash.xxh3_64_intdigest(f"{kind}\x00{zip5}\x00{name}") - (1 << 63)
-                for column, value in zip(out, (identity, kind, zip5, name, n, band_keys(tokens, f"{kind}\x00{zip5}", number[kind], TUNED[kind][1]))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _NAME.types)], schema=_NAME)
+            keys = [band_keys(tokens.partition("|")[0].split(), f"{kind}\x00{zip5}", number[kind], TUNED[kind][1]) for kind, zip5, tokens in zip(*(batch.column(c).to_pylist() for c in ("kind", "zip5", "tokens")))]
+            yield pa.RecordBatch.from_arrays([batch.column("bag"), pa.array(keys, pa.list_(pa.int64()))], schema=_KEYS)
 
     return sign
 
@@ -228,7 +254,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = [], []
         for a, b, kind, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "kind", "x", "y"))):
-            if same_organisation(x, y) if kind == "organization" else same_person(person_tokens(*x.split("|", 1)), person_tokens(*y.split("|", 1))):
+            x, x_forms = (part.split() for part in x.split("|"))
+            y, y_forms = (part.split() for part in y.split("|"))
+            if same_organisation(x, x_forms, y, y_forms) if kind == "organization" else same_person(x, y):
                 left.append(a)
                 right.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=_EDGE)
@@ -242,20 +270,22 @@ def stored_names(comments: DataFrame) -> DataFrame:
 
 
 def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, center): star clustering.
+    """(id, center): star clustering of weighted nodes (id, n).
 
-    The spelling with most links (then most rows, then the least id) among its
-    open neighbours becomes a star center and takes its open neighbours; rounds
-    repeat until no open link is left.  A spelling between two centers of one
-    round joins the greater.
+    The node with most links (then most rows n, then the least id) among its open
+    neighbours becomes a star center and takes its open neighbours; rounds repeat
+    until no open link is left (each takes at least the greatest open node, so they
+    end).  A node between two centers of one round joins the greater.
     """
     both = spill(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "p6-links")
     degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("links"))
     rank = spill(names.select("id", "n").join(degree, "id").select("id", F.struct("links", "n", (-F.col("id")).alias("id")).alias("rank")), "p6-rank")
     tagged = both.join(rank.select(F.col("id").alias("u"), F.col("rank").alias("ur")), "u").join(rank.select(F.col("id").alias("v"), F.col("rank").alias("vr")), "v")
     left = spill(tagged.select("u", "v", "ur", "vr"), "p6-open0")
+    for table in (both, rank):
+        discard(table)
     done = None
-    for number in range(1, 60):
+    for number in count(1):
         if left.isEmpty():
             break
         centers = left.groupBy("u").agg(F.max("vr").alias("top"), F.first("ur").alias("ur")).where("ur > top").select(F.col("u").alias("center"), F.col("ur").alias("rank"))
@@ -272,26 +302,47 @@ def star_clusters(names: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def linked_names(comments: DataFrame) -> DataFrame:
-    """p6: one row per stored spelling that has a variant: kind, zip5, name, entity (the spelling at the star's center) and the number of spellings."""
-    stored = spill(stored_names(comments), "p6-stored")
-    names = spill(stored.mapInArrow(_signer(), _NAME_SQL), "p6-names")
-    keys = names.select("id", F.explode("keys").alias("key"))
+def linked_nodes(comments: DataFrame) -> DataFrame:
+    """(center, kind, zip5, name, n): every stored spelling with the node at the center of its star, or its own."""
+    read = spill(stored_names(comments).mapInArrow(_read, _NODE_SQL), "p6-read")
+    nodes = read.groupBy("node", "bag", "kind", "zip5").agg(F.min("tokens").alias("tokens"), F.sum("n").alias("n"))
+    nodes = spill(nodes, "p6-nodes")
+    bags = nodes.groupBy("bag", "kind", "zip5").agg(F.min("tokens").alias("tokens"), F.count("*").alias("nodes"))
+    keys = spill(bags.mapInArrow(_signer(), "bag long, keys array<long>").select("bag", F.explode("keys").alias("key")), "p6-keys")
     x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = spill(pairs, "p6-pairs")
-    left = names.select(F.col("id").alias("a"), "kind", F.col("name").alias("x"))
-    right = names.select(F.col("id").alias("b"), F.col("name").alias("y"))
-    edges = spill(pairs.join(left, "a").join(right, "b").select("a", "b", "kind", "x", "y").mapInArrow(_verify, "a long, b long"), "p6-edges")
-    stars = star_clusters(names, edges)
-    titles = names.select(F.col("id").alias("center"), F.col("name").alias("entity"))
-    size = F.count("*").over(Window.partitionBy("center"))
-    return stars.withColumn("spellings", size).join(names.select("id", "kind", "zip5", "name"), "id").join(titles, "center").select("kind", "zip5", "name", "entity", "spellings")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.bag") < F.col("y.bag"))).select(F.col("x.bag").alias("p"), F.col("y.bag").alias("q")).distinct()
+    pairs = spill(met.unionAll(bags.where("nodes > 1").select(F.col("bag").alias("p"), F.col("bag").alias("q"))), "p6-pairs")
+    discard(keys)
+    left = nodes.select(F.col("bag").alias("p"), F.col("node").alias("a"), "kind", F.col("tokens").alias("x"))
+    right = nodes.select(F.col("bag").alias("q"), F.col("node").alias("b"), F.col("tokens").alias("y"))
+    told = pairs.join(left, "p").join(right, "q").where("p <> q or a < b").select("a", "b", "kind", "x", "y")
+    edges = spill(told.mapInArrow(_verify, "a long, b long"), "p6-edges")
+    discard(pairs)
+    stars = star_clusters(nodes.select(F.col("node").alias("id"), "n"), edges)
+    placed = read.join(stars.withColumnRenamed("id", "node"), "node", "left")
+    return placed.select(F.coalesce("center", "node").alias("center"), "node", "kind", "zip5", "name", "n")
+
+
+def linked_names(comments: DataFrame) -> DataFrame:
+    """p6: one row per stored spelling that has a variant: kind, zip5, name, entity (the commonest spelling at the star's center) and the number of spellings."""
+    linked = spill(linked_nodes(comments), "p6-linked")
+    at_center = F.when(F.col("node") == F.col("center"), F.struct("n", "name"))
+    titles = linked.groupBy("center").agg(F.count("*").alias("spellings"), F.max(at_center)["name"].alias("entity")).where("spellings > 1")
+    return linked.join(titles, "center").select("kind", "zip5", "name", "entity", "spellings")
+
+
+#: Spellings of one entity that are paired in one task; those of larger entities are spread over pairs of blocks.
+PAIR_BLOCK = 500
 
 
 def name_pairs(comments: DataFrame) -> DataFrame:
     """p6: distinct (kind, zip5, name_a, name_b) of two spellings of one entity, the smaller first."""
-    linked = spill(linked_names(comments), "p6-linked")
-    x, y = linked.alias("x"), linked.alias("y")
-    same = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.zip5") == F.col("y.zip5")) & (F.col("x.entity") == F.col("y.entity")) & (F.col("x.name") < F.col("y.name"))
-    return x.join(y, same).select("x.kind", "x.zip5", F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
+    linked = spill(linked_nodes(comments), "p6-linked")
+    sizes = linked.groupBy("center").agg(F.count("*").alias("spellings")).where("spellings > 1")
+    # A pair meets in the cell of its two blocks only.
+    blocks = linked.join(sizes, "center").withColumn("blocks", F.ceil(F.col("spellings") / PAIR_BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(name), blocks) as int)"))
+    cells = blocks.select("center", "kind", "zip5", "name", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("center", "kind", "zip5", "name", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    x, y = cells.alias("x"), cells.alias("y")
+    same = (F.col("x.center") == F.col("y.center")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.name") < F.col("y.name"))
+    own = F.expr("x.low = x.high or x.block <> y.block")
+    return x.join(y, same & own).select("x.kind", "x.zip5", F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
