@@ -379,6 +379,18 @@ def test_residue_within_longer_texts(documents):
     assert got == {(1, "script_notice"), (2, "script_notice"), (3, "script_notice"), (4, "filler"), (5, "error_page")}
 
 
+def test_residue_comes_from_recurring_messages(documents):
+    """Dates in words are masked; a notice counts where it stands alone elsewhere, prose about such things does not, however often it recurs."""
+    assert {residue.mask(t) for t in ("Posted January 5, 2024.", "Posted 5 January 2024.", "Posted 2024-01-05.")} == {"posted 0."}
+    assert residue.mask("el 5 de enero de 2024") == residue.mask("el 17 de mayo de 2023") == "el 0"
+    real = "The panel heard that every phased grant formula draws attention to the tribal water right. Nobody objected to it at the hearing in the upper basin. "
+    trap = "The portal returned error 500 each time I tried to file."
+    long = "This page is not available because of work on the server, and " + "the clerk of the docket asks everyone to wait for it, and " * 6 + "that is all."
+    texts = [real * 2 + trap] * 4 + [f"Access denied. Posted {m} 5, 2024." for m in ("January", "March")] + [real * 4 + "Access denied."] + [real * 2 + "Ask [TITLE] first."] + [real * 2 + f"Ask [{x}] first." for x in ("AGENCY", "AGENCY")] + [real * 9 + long, long, long]
+    got = {tuple(r) for r in residue.residue_kinds(documents([{"doc_id": i, "text": t, "source": "ab"[i % 2]} for i, t in enumerate(texts)])).collect()}
+    assert got == {(i, "error_page") for i in (4, 5, 6, 10, 11, 12)} | {(i, "placeholder") for i in (7, 8, 9)}
+
+
 # -- queries ---------------------------------------------------------------------------------------------------------
 
 
