@@ -1,12 +1,12 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
-Candidates are cut from the texts by their outer form.  Seeds are the candidates
-that the form alone, or the given and family names of the commenters' own
-columns, make certain.  Seeds induce lexical patterns (words to the left, words
-to the right, the form); a bipartite graph of patterns and instances is scored
-iteratively in Spark: patterns by the instances they hold, instances by their
-patterns.  Candidates that score high enough are personal data, also those no
-seed list knows.
+Candidates are cut from the texts by their outer form.  Seeds are few: numbers and
+addresses that a cue word announces ("phone", "my address is"), and full names that
+stand in the commenters' own columns.  Seeds induce lexical patterns (words to the
+left, words to the right, the form); a bipartite graph of patterns and instances is
+scored iteratively in Spark: patterns by the instances they hold, instances by their
+patterns.  Every candidate that is no seed, of any kind, is taken only if the graph
+scores it high enough.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.llm import textops as tx
-from docketlens.session import spill
+from docketlens.session import discard, spill
 
 FIELDS = ("comment_text", "attachment_text")
 ROUNDS = 3
+#: What the shape of a number or an address is worth as one observation, before any is scored: the counts of a large collection outweigh it.
+SHAPE_PRIOR = {"email": 0.9, "address": 0.9, "phone": 0.6, "identity_number": 0.3, "name": 0.0}
+#: Parts that the instances of one pattern are spread over.
+SALTS = 8
+#: How far the trust in a form counts without any context: of numbers and addresses, and of names by how many of their parts commenters bear.
+FORM_WEIGHT, KNOWN_WEIGHT = 0.7, {"both": 0.9, "part": 0.5, "unknown": 0.3}
 #: Score at which an undecided candidate of a kind is taken.
 ACCEPT = {"email": 0.3, "phone": 0.3, "identity_number": 0.3, "address": 0.3, "name": 0.45}
 #: A word in lower case in more than this share of all texts is an ordinary word; at most (words per text / share) words can be.
@@ -36,17 +42,25 @@ _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s+dot\s+)"
 _DOMAIN = re.compile(rf"[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)*{_DOT}[A-Za-z]{{2,}}\b>?", re.IGNORECASE)
 _SPOKEN_DOT = re.compile(r"[\w-]+(?:\s+dot\s+|\s?\[dot\]\s?|\s?\(dot\)\s?)", re.IGNORECASE)
 _PHONE = re.compile(
-    r"(?<![\w$.,/#-])(?:\+\d{1,3}(?:[\s.-]?\(0\))?[\s.-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\s.-]?\d{2,5}){1,4}|1[-.\s]\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}|\d{3}[-./\s]\d{3}[-.\s]\d{4}|\d{3}\s\d{3}\s\d{2}\s\d{2}|0\d(?:[\s.]\d{2}){4}|\d{10}|\d{3}[-.]\d{4})"
+    r"(?:\+\d{1,3}(?:[\s.-]?\(0\))?[\s.-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\s.-]?\d{2,5}){1,4}|1[-.\s]\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}|\(\d{3}\)[\s.-]?\d{3}[\s.-]\d{4}|\d{3}[-./\s]\d{3}[-.\s]\d{4}|\d{3}\s\d{3}\s\d{2}\s\d{2}|0\d(?:[\s.]\d{2}){4}|\d{10}|\d{3}[-.]\d{4})"
     r"(?:\s*(?:ext|x|extension)\.?\s*\d{1,6})?(?![\w-]|[.,/]\d)",
     re.IGNORECASE,
 )
-_IDENTITY = re.compile(r"(?<![\w$.,/#-])(?:\d{3}[-\s.]\d{2}[-\s.]\d{4}|\d{9}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]-\d{3}-\d{3}-\d{3}|[A-Z]\d{7,8}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z])(?![\w-]|[.,/]\d)")
+_IDENTITY = re.compile(r"(?:\d{3}[-\s.]\d{2}[-\s.]\d{4}|\d{9}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]-\d{3}-\d{3}-\d{3}|[A-Z]\d{7,8}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z])(?![\w-]|[.,/]\d)")
 # Kinds of streets.
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Terrace|Ter|Drive|Dr|Boulevard|Blvd|Way|Place|Pl|Circle|Cir|Parkway|Pkwy|Highway|Hwy|Square|Sq|Loop|Trail|Trl|Pike|Row|Alley|Crescent|Close|Turnpike"
 _UNIT = rf"(?:,?{_GAP}+(?:Apt|Apartment|Unit|Suite|Ste|Room|Rm|Floor|Fl)\.?{_GAP}*#?\s?\w{{1,5}}|,?{_GAP}*\#\s?\w{{1,5}})?"
-_TOWN = rf"(?:,?{_GAP}+[A-Z][\w.]+(?:{_GAP}[A-Z][a-z]+)?,?{_GAP}+(?:[A-Z]{{2}}\b|California|Oregon|Texas|Ohio|Florida|Nevada)(?:{_GAP}+\d{{5}}(?:-\d{{4}})?)?)?"
+# A state by its two letters or by one or two words before a ZIP code.
+_TOWN = rf"(?P<town>,?{_GAP}+(?-i:[A-Z][\w.]+(?:{_GAP}[A-Z][a-z]+)?,?{_GAP}+(?:[A-Z]{{2}}\b(?:{_GAP}+\d{{5}}(?:-\d{{4}})?)?|[A-Z][a-z]+(?:{_GAP}[A-Z][a-z]+)?,?{_GAP}+\d{{5}}(?:-\d{{4}})?\b)))?"
 _STREET = rf"\d{{1,6}}(?:-\d{{1,4}}|[A-Z])?{_GAP}+(?:[NSEW]{{1,2}}\.?{_GAP}+)?(?:(?:[A-Z][\w'’]*|\d{{1,3}}(?:st|nd|rd|th)){_GAP}+){{1,3}}(?:{_STREETS})\b\.?"
-_ADDRESS = re.compile(rf"(?<![\w$.,/#-])(?:{_STREET}|(?:P\.?\s?O\.?|POST OFFICE){_GAP}?BOX{_GAP}+\d{{1,6}}\b|(?:RR|R\.R\.|HC|RURAL ROUTE|STAR ROUTE){_GAP}+\d{{1,3}},?{_GAP}+BOX{_GAP}+\d{{1,6}}\b){_UNIT}{_TOWN}", re.IGNORECASE)
+_HOUSE = re.compile(rf"{_STREET}{_UNIT}{_TOWN}", re.IGNORECASE)
+_BOX = re.compile(rf"(?<![\w$.,/#-])(?:(?:P\.?\s?O\.?|POST OFFICE){_GAP}?BOX{_GAP}+\d{{1,6}}\b|(?:RR|R\.R\.|HC|RURAL ROUTE|STAR ROUTE){_GAP}+\d{{1,3}},?{_GAP}+BOX{_GAP}+\d{{1,6}}\b){_UNIT}{_TOWN}", re.IGNORECASE)
+# Streets as written in Spanish, French and German, with town and postal code.
+_PLACE = r"(?P<town>,?\s+\d{4,5}\s+[^\W\d_a-z][\w-]+(?:\s[^\W\d_a-z][\w-]+)?)?"
+_STREET_ES = re.compile(rf"\b(?:[Cc]alle|[Aa]venida|[Aa]vda?\.?|[Pp]laza|[Pp]aseo|[Cc]amino)\s+(?:(?:de|del|la|las|los|el)\s+){{0,3}}[^\W\d_a-z]\w+(?:\s+[^\W\d_a-z]\w+){{0,2}},?\s+(?:n[.º°]*\s*)?\d{{1,4}}\b{_PLACE}")
+_STREET_FR = re.compile(rf"\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)\s+(?:(?:de|du|des|la|le|les)\s+|d['’]|l['’]){{0,3}}[^\W\d_a-z][\w’'-]+(?:\s+[^\W\d_a-z][\w-]+){{0,2}}{_PLACE}")
+_STREET_DE = re.compile(rf"\b[^\W\d_a-z][^\W\d_]*(?:straße|strasse|weg|platz|allee|gasse)\s+\d{{1,4}}[a-z]?\b(?![-./]\d){_PLACE}")
+_FOREIGN = ("calle", "avenida", "avda", "plaza", "paseo", "camino", "rue ", "avenue ", "boulevard ", "place ", "chemin ", "impasse ", "allée ", "quai ", "straße", "strasse", "weg ", "platz ", "allee ", "gasse ")
 _DIGIT = re.compile(r"\d")
 
 # A letter, or the second half of a wrongly decoded one.
@@ -70,7 +84,13 @@ _NOT_PERSON = frozenset(
 _OPENERS = frozenset("dear best regards sincerely respectfully thanks thank yours by from with my the neighbor chief according name is am i".split())
 # Words before numbers of things other than people.
 _THINGS = frozenset("order entry model lot tracking invoice part milepost docket exhibit rin serial batch item case number: table version section page report permit claim ref reference".split())
-_PEOPLE_WORDS = frozenset("ssn social security passport taxpayer tin licence license driver driver's drivers alien registration ni nino insurance medicare dni nie identity mine nss curp rfc".split())
+# Words that announce what follows them, the seeds of each kind.
+_CUES = {
+    "email": frozenset("email e mail emails address correo electrónico courriel adresse write contact".split()),
+    "phone": frozenset("phone telephone tel tél call cell mobile fax voicemail text teléfono téléphone telefon handy móvil llame appelez".split()),
+    "identity_number": frozenset("ssn social security passport taxpayer tin licence license driver alien registration insurance".split()),
+    "address": frozenset("address live lives reside resides residing home house mail mailing vivo domicilio dirección habite adresse wohne anschrift".split()),
+}
 
 
 def _letters(text: str) -> list[str]:
@@ -87,13 +107,35 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return ("^ " if line_start else "") + fold(before), fold(after) + (" $" if line_end else "")
 
 
+_RUN = re.compile(r"\d+")
+#: What may not stand right before a number of a person.
+_BARRED = frozenset("$.,/#-_") | frozenset("0123456789")
+
+
+def _shape(text: str) -> str:
+    return re.sub(r"\d", "0", re.sub(r"[A-Z]", "A", text))
+
+
+def _email_form(text: str) -> str:
+    """How the two signs of an address are written, its names left out."""
+    return "email " + " ".join(re.sub(r"[\w.+%-]+?(?=\s|@|\[|\(|$)", "a", text.lower()).split())
+
+
 def find_numbers(text: str) -> list[tuple[str, int, int, str, float | None]]:
-    """(kind, start, end, form, score) of emails, phones, identity numbers and addresses; score None where the form leaves it open."""
+    """(kind, start, end, form, score) of emails, phones, identity numbers and addresses.
+
+    The score is 1 for seeds (a cue word stands before), 0 for numbers of things, and
+    None where the graph is to decide.
+    """
     found: list[tuple[str, int, int, str, float | None]] = []
 
     def free(start: int, end: int) -> bool:
         return all(end <= s or e <= start for _, s, e, _, _ in found)
 
+    def seed(kind: str, start: int, reach: int = 4) -> float | None:
+        before = _letters(text[max(0, start - 40) : start])[-reach:]
+        return 1.0 if not _CUES[kind].isdisjoint(before) else None
+
     low = text.lower()
     if "@" in text or "[at]" in low or "(at)" in low or " at " in low and "dot" in low:
         for at in _AT.finditer(text):
@@ -101,31 +143,55 @@ def find_numbers(text: str) -> list[tuple[str, int, int, str, float | None]]:
             if at.group().strip().lower() == "at" and not _SPOKEN_DOT.match(text, at.end()):
                 continue
             domain = _DOMAIN.match(text, at.end())
-            local = domain and _LOCAL.search(text, max(0, at.start() - 80), at.start())
+            begin = at.start()
+            while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+%-:<"):
+                begin -= 1
+            local = domain and _LOCAL.search(text, begin, at.start())
             if local and free(local.start(), domain.end()):
-                found.append(("email", local.start(), domain.end(), "email", 1.0))
-    if _DIGIT.search(text):
-        for m in _ADDRESS.finditer(text):
-            words = m.group().split()
-            # Written in small letters a number before a common word ("3 people drive") is no street.
-            if free(m.start(), m.end()) and ("box" in m.group().lower() or m.group().isupper() or any(w[0].isupper() for w in words[1:2]) or words[1][:1].isdigit()):
-                found.append(("address", m.start(), m.end(), "address", 1.0))
-        for m in _IDENTITY.finditer(text):
-            if not free(m.start(), m.end()):
-                continue
-            form = re.sub(r"\d", "0", re.sub(r"[A-Z]", "A", m.group()))
-            before = _letters(text[max(0, m.start() - 45) : m.start()])[-4:]
-            near = set(before) | set(_letters(text[m.end() : m.end() + 12])[:1])
-            score = 0.0 if set(before[-2:]) & _THINGS else 1.0 if near & _PEOPLE_WORDS else None
-            found.append(("identity_number", m.start(), m.end(), form, score))
-        for m in _PHONE.finditer(text):
-            if not free(m.start(), m.end()):
-                continue
-            form = re.sub(r"\d", "0", m.group())
-            before = _letters(text[max(0, m.start() - 25) : m.start()])[-2:]
-            digits = sum(c.isdigit() for c in m.group())
-            score = 0.0 if set(before) & _THINGS else 1.0 if digits >= 10 else None
-            found.append(("phone", m.start(), m.end(), form, score))
+                found.append(("email", local.start(), domain.end(), _email_form(text[local.start() : domain.end()]), seed("email", local.start())))
+    starts = [m.start() for m in _RUN.finditer(text)]
+    if not starts:
+        return found
+
+    def street(m: re.Match, form: str) -> None:
+        words = m.group().split()
+        # Written in small letters a number before a common word ("3 people drive") is no street.
+        if free(m.start(), m.end()) and (form != "street" or m.group().isupper() or words[1][0].isupper() or words[1][:1].isdigit() or m.group("town")):
+            found.append(("address", m.start(), m.end(), f"address {form}", seed("address", m.start())))
+
+    for at in starts:
+        if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in _BARRED)) and (m := _HOUSE.match(text, at)):
+            street(m, "street")
+    if "box" in low:
+        for m in _BOX.finditer(text):
+            street(m, "box")
+    for at in starts:
+        begin = at
+        while begin > at - 2 and begin and "A" <= text[begin - 1] <= "Z" or begin == at and begin > 1 and text[begin - 1] == "-" and "A" <= text[begin - 2] <= "Z":
+            begin -= 1
+        if at > 2 and text[at - 1] in " \t\n\xa0" and "A" <= text[at - 2] <= "Z" and "A" <= text[at - 3] <= "Z":
+            begin = at - 3
+        if begin and (text[begin - 1].isalnum() or text[begin - 1] in _BARRED):
+            continue
+        m = _IDENTITY.match(text, begin)
+        if m and free(m.start(), m.end()):
+            before = _letters(text[max(0, begin - 45) : begin])[-4:]
+            score = 0.0 if not _THINGS.isdisjoint(before[-2:]) else 1.0 if not _CUES["identity_number"].isdisjoint(before) else None
+            found.append(("identity_number", m.start(), m.end(), _shape(m.group()), score))
+    for at in starts:
+        begin = at
+        while begin and text[begin - 1] in "+(" and at - begin < 2:
+            begin -= 1
+        if begin and (text[begin - 1].isalnum() or text[begin - 1] in _BARRED):
+            continue
+        m = _PHONE.match(text, begin)
+        if m and free(m.start(), m.end()):
+            before = _letters(text[max(0, begin - 25) : begin])[-2:]
+            found.append(("phone", m.start(), m.end(), re.sub(r"\d+$", "0", _shape(m.group())) if "x" in m.group().lower() else _shape(m.group()), 0.0 if not _THINGS.isdisjoint(before) else seed("phone", begin, 3)))
+    if any(word in low for word in _FOREIGN):
+        for pattern, form in ((_STREET_ES, "calle"), (_STREET_FR, "rue"), (_STREET_DE, "straße")):
+            for m in pattern.finditer(text):
+                street(m, form)
     return found
 
 
@@ -339,52 +405,88 @@ def organisation_words(comments: DataFrame) -> DataFrame:
     return words.where(F.length("word") > 2).groupBy("word").agg(F.count("*").alias("o_n")).where("o_n > 1")
 
 
-def personal_items(comments: DataFrame) -> DataFrame:
-    """(field, comment_id, kind, place, size) of every item of personal data found; repeats of a comment are searched as they are stored."""
+def full_names(comments: DataFrame) -> DataFrame:
+    """(given, family): full names in the commenters' own columns, the seeds of names."""
+    word = lambda c: F.lower(F.regexp_extract(F.trim(c), r"^([^\s\d,.|]{3,})$", 1))
+    return comments.select(word(F.col("first_name")).alias("given"), word(F.col("last_name")).alias("family")).where("given <> '' and family <> ''").distinct()
+
+
+def _weight(form: str = "form") -> F.Column:
+    """How far trust in the form counts by itself."""
+    out = F.lit(FORM_WEIGHT)
+    for known, value in KNOWN_WEIGHT.items():
+        out = F.when(F.col(form).endswith(f" {known}"), F.lit(value)).otherwise(out)
+    return out
+
+
+def scored_items(comments: DataFrame) -> DataFrame:
+    """(field, comment_id, kind, place, size, route) of every item found; route is ``seed`` or ``pattern``.
+
+    Repeats of a comment are searched as they are stored.
+    """
     texts = comments.where("comment_id is not null").select("comment_id", *FIELDS)
     given, family = (spill(t, "p5-known") for t in known_names(comments))
     candidates = spill(texts.mapInArrow(_candidates(ordinary_words(comments, given, family)), _CAND_SQL), "p5-candidates")
     bodies = organisation_words(comments)
-    named = candidates.where("kind = 'name'").join(given, "given", "left").join(family, "family", "left")
-    named = named.join(bodies.select(F.col("word").alias("given"), F.col("o_n").alias("og")), "given", "left").join(bodies.select(F.col("word").alias("family"), F.col("o_n").alias("of")), "family", "left")
+    # Names are looked up once per distinct pair of words.
+    pairs = candidates.where("kind = 'name'").select("given", "family").distinct().join(given, "given", "left").join(family, "family", "left")
+    pairs = pairs.join(bodies.select(F.col("word").alias("given"), F.col("o_n").alias("og")), "given", "left").join(bodies.select(F.col("word").alias("family"), F.col("o_n").alias("of")), "family", "left")
+    pairs = pairs.join(full_names(comments).withColumn("own", F.lit(1)), ["given", "family"], "left")
     # Words of organisations that are no commenter's name.
     body = (F.col("og").isNotNull() & F.col("g_n").isNull()) | (F.col("of").isNotNull() & F.col("f_n").isNull())
-    both = F.col("g_n").isNotNull() & F.col("f_n").isNotNull()
-    # A given name of many commenters and an unknown capitalised word are likely, but not certain.
-    initial = F.col("form").endswith("initial")
-    prior = F.when((F.col("score") == 0.0) | body, 0.0).when(both & ~initial, 1.0).when(F.col("form").endswith("title") & F.col("f_n").isNotNull(), 1.0)
-    prior = prior.when((F.col("g_n") >= 5) & F.col("form").isin("full", "reversed"), 0.6).when((F.col("f_n") >= 3) & F.col("form").isin("full", "reversed"), 0.5)
-    known = (F.col("g_n").isNotNull() & ~initial) | F.col("f_n").isNotNull()
-    # The form tells whether any part is known: unknown names earn trust of their own.
-    named = named.withColumn("score", prior).withColumn("form", F.when(known, F.col("form")).otherwise(F.concat("form", F.lit(" unknown")))).select(*candidates.columns)
-    rows = candidates.where("kind <> 'name'").unionByName(named).withColumn("row", F.monotonically_increasing_id())
-    rows = spill(rows, "p5-rows")
+    pairs = spill(pairs.select("given", "family", "g_n", "f_n", "own", body.alias("body")), "p5-pairs")
+    named = candidates.where("kind = 'name'").join(pairs, ["given", "family"], "left")
+    lone = F.col("form").endswith("initial") | F.col("form").endswith("title")
+    score = F.when((F.col("score") == 0.0) | F.col("body"), 0.0).when(F.col("own").isNotNull() & ~lone, 1.0)
+    # The form tells how much is known: unknown names earn trust of their own.
+    both = F.when(lone, F.col("f_n").isNotNull()).otherwise(F.col("g_n").isNotNull() & F.col("f_n").isNotNull())
+    known = F.when(both, "both").when((F.col("g_n").isNotNull() & ~F.col("form").endswith("initial")) | F.col("f_n").isNotNull(), "part").otherwise("unknown")
+    named = named.withColumn("score", score).withColumn("form", F.concat_ws(" ", "form", known)).select(*candidates.columns)
+    rows = spill(candidates.where("kind <> 'name'").unionByName(named).withColumn("row", F.monotonically_increasing_id()), "p5-rows")
+    discard(candidates)
     # Patterns: the words before, the words after, and the form.  One instance counts once per pattern.
     last_two = lambda c: F.regexp_extract(c, r"(\S+ ?\S*)$", 1)
     # Rare words in small letters of which none is a known name (typos, mostly) teach nothing; only what trusted patterns precede is taken.
     unproved = F.col("form").startswith("small ") & F.col("form").endswith(" unknown")
     lefts = [F.concat(F.lit("L "), last_two(F.col("lft"))), F.concat(F.lit("LL "), F.col("lft"))]
-    pattern = F.explode(F.when(unproved, F.array(*lefts)).otherwise(F.array(*lefts, F.concat(F.lit("R "), F.col("rgt")), F.concat(F.lit("S "), F.col("form")))))
-    links = spill(rows.where(~unproved).select("kind", "instance", "score", pattern.alias("pattern")).groupBy("kind", "instance", "pattern").agg(F.max("score").alias("seed")), "p5-links")
-    belief = links.groupBy("kind", "instance").agg(F.max("seed").alias("seed")).withColumn("belief", F.col("seed"))
+    own_patterns = F.when(unproved, F.array(*lefts)).otherwise(F.array(*lefts, F.concat(F.lit("R "), F.col("rgt")), F.concat(F.lit("S "), F.col("form"))))
+    key = F.xxhash64("kind", "pattern")
+    node = F.xxhash64("kind", "instance")
+    prior = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in SHAPE_PRIOR.items()])
+    exploded = rows.where(~unproved).select("kind", node.alias("node"), "score", _weight().alias("weight"), prior.alias("prior"), F.explode(own_patterns).alias("pattern"))
+    links = spill(exploded.groupBy("node", key.alias("key")).agg(F.max("score").alias("seed"), F.max("weight").alias("weight"), F.max(F.col("pattern").startswith("S ")).alias("shape"), F.first("prior").alias("prior")), "p5-all-links")
+    # A context of one instance can teach nothing.
+    shared = links.groupBy("key").agg(F.count("*").alias("held"), F.max("shape").alias("shape")).where("held > 1 or shape").select("key")
+    salt = lambda c: F.pmod(F.col(c), F.lit(SALTS)).cast("int").alias("salt")
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seeds = links.groupBy("node").agg(F.max("seed").alias("seed"))
+    belief = spill(seeds.select("node", "seed", F.col("seed").alias("belief")), "p5-belief")
+    useful = spill(links.select("*", salt("node")).join(spread(shared), ["key", "salt"]).select("node", "key", "weight", "shape", F.when(F.col("shape"), F.col("prior")).otherwise(0.0).alias("prior"), "salt"), "p5-links")
+    discard(links)
     trust = None
     for number in range(ROUNDS):
-        held = links.select("kind", "instance", "pattern").join(belief.select("kind", "instance", "belief"), ["kind", "instance"])
-        sums = held.groupBy("kind", "pattern").agg(F.coalesce(F.sum("belief"), F.lit(0.0)).alias("yes"), F.sum(1 - F.col("belief")).alias("no"), F.sum(F.expr("if(belief is null, 1, 0)")).alias("open"))
-        trust = spill(sums.select("kind", "pattern", (F.col("yes") / (F.col("yes") + F.coalesce("no", F.lit(0.0)) + 0.5 * F.col("open") + 1.0)).alias("trust")), f"p5-trust{number}")
-        # Two best kinds of evidence together: context and form both count, a form alone stays weak.
-        per = links.join(trust, ["kind", "pattern"]).groupBy("kind", "instance").agg(
-            F.max(F.expr("if(pattern like 'S %', 0, trust)")).alias("context"), F.max(F.expr("if(pattern like 'S %', trust, 0)")).alias("form"), F.max("seed").alias("seed")
-        )
-        belief = spill(per.select("kind", "instance", "seed", F.coalesce("seed", F.expr("1 - (1 - context) * (1 - 0.3 * form)")).alias("belief")), f"p5-belief{number}")
+        held = useful.select("node", "key", "prior").join(belief.select("node", "belief"), "node")
+        sums = held.groupBy("key").agg(F.coalesce(F.sum("belief"), F.lit(0.0)).alias("yes"), F.sum(1 - F.col("belief")).alias("no"), F.sum(F.expr("if(belief is null, 1, 0)")).alias("open"), F.max("prior").alias("prior"))
+        last, trust = trust, spill(sums.select("key", ((F.col("yes") + F.col("prior")) / (F.col("yes") + F.coalesce("no", F.lit(0.0)) + 0.5 * F.col("open") + 1.0)).alias("trust")), f"p5-trust{number}")
+        # Context and form together count; how far a form alone counts is its weight.
+        per = useful.join(spread(trust), ["key", "salt"]).groupBy("node").agg(F.max(F.expr("if(shape, 0, trust)")).alias("context"), F.max(F.expr("if(shape, trust * weight, 0)")).alias("form"))
+        before, belief = belief, spill(belief.select("node", "seed").join(per, "node", "left").select("node", "seed", F.coalesce("seed", F.expr("1 - (1 - coalesce(context, 0)) * (1 - coalesce(form, 0))")).alias("belief")), f"p5-belief{number}")
+        discard(before)
+        discard(last)
+    discard(useful)
     # An item is judged where it stands: by its own seed score, else by the trust of its own patterns and the belief in the instance.
-    own = rows.where("score is null").select("row", "kind", "instance", "given", "form", pattern.alias("pattern")).join(trust, ["kind", "pattern"], "left")
-    judged = own.groupBy("row", "kind", "instance").agg(F.max(F.expr("if(pattern like 'S %', 0, trust)")).alias("context"), F.max(F.expr("if(pattern like 'S %', trust, 0)")).alias("shape"))
-    judged = judged.join(belief.select("kind", "instance", "belief"), ["kind", "instance"], "left").select("row", F.expr("greatest(1 - (1 - context) * (1 - 0.3 * shape), 0.8 * coalesce(belief, 0))").alias("found"))
+    own = rows.where("score is null").select("row", "kind", node.alias("node"), _weight().alias("weight"), F.explode(own_patterns).alias("pattern")).select("row", "node", "weight", key.alias("key"), F.col("pattern").startswith("S ").alias("shape"), salt("row"))
+    judged = own.join(spread(trust), ["key", "salt"], "left").groupBy("row", "node").agg(F.max(F.expr("if(shape, 0, trust)")).alias("context"), F.max(F.expr("if(shape, trust * weight, 0)")).alias("form"))
+    judged = judged.join(belief.select("node", "belief"), "node", "left").select("row", F.expr("greatest(1 - (1 - coalesce(context, 0)) * (1 - coalesce(form, 0)), 0.8 * coalesce(belief, 0))").alias("found"))
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in ACCEPT.items()])
     found = F.col("found") * F.when(F.col("form").endswith(" unknown"), 0.75).otherwise(1.0)
     final = rows.join(judged, "row", "left").where(F.coalesce(F.col("score"), found) >= limit)
-    return final.select("field", "comment_id", "kind", "place", "size")
+    return final.select("field", "comment_id", "kind", "place", "size", F.when(F.col("score") == 1.0, "seed").otherwise("pattern").alias("route"), "form")
+
+
+def personal_items(comments: DataFrame) -> DataFrame:
+    """(field, comment_id, kind, place, size) of every item of personal data found."""
+    return scored_items(comments).select("field", "comment_id", "kind", "place", "size")
 
 
 def fields_with_items(comments: DataFrame) -> DataFrame:
@@ -409,10 +511,12 @@ def _redactor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redacted_texts(comments: DataFrame) -> DataFrame:
     """p5: (field, comment_id, redacted) of every non-NULL text, each item replaced by a placeholder naming its kind.
 
-    Of a comment's repeats the row with the longest text per field is used.
+    Of a comment's repeats the longest text per field is used, and the least of their names.
     """
-    longest = comments.where("comment_id is not null").groupBy("comment_id").agg(*[F.max_by(f, F.struct(F.length(f), F.col(f))).alias(f) for f in FIELDS])
-    items = personal_items(longest.join(comments.select("comment_id", "first_name", "last_name", "organization").dropDuplicates(["comment_id"]), "comment_id"))
+    people = F.min(F.struct("first_name", "last_name", "organization")).alias("who")
+    longest = comments.where("comment_id is not null").groupBy("comment_id").agg(*[F.max_by(f, F.struct(F.length(f), F.col(f))).alias(f) for f in FIELDS], people)
+    longest = spill(longest.select("comment_id", *FIELDS, "who.*"), "p5-texts")
+    items = personal_items(longest)
     gathered = items.groupBy("field", "comment_id").agg(F.collect_set(F.struct("place", "size", "kind")).alias("items"))
     long_form = None
     for field in FIELDS:

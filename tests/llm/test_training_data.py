@@ -204,6 +204,24 @@ def test_names_in_small_letters(comments):
     assert got == {f"name{i}" for i in range(len(cases))}
 
 
+def test_redaction_leaves_no_planted_item(comments):
+    """Seeds (announced items) teach forms and contexts by which items that nothing announces are found, in four languages."""
+    given, family = ["Maria", "Peter", "Chidi", "Bao", "Helen"], ["Falkumphrey", "Ostiyama", "Dwebarelli", "Jarrowitz", "Kelmandez"]
+    streets = ["44 Elm Street, Boise, Idaho 83702", "9 Old Mill Rd., Unit 4, Umber Springs, OR 97001", "Calle Mayor 12, 28013 Madrid", "12 rue de la Paix, 75002 Paris", "Hauptstraße 5, 10115 Berlin"]
+    numbers = ["(555) 555-0123", "555-555-0188", "+44 20 7946 0999"]
+    rows, planted = [], {}
+    for i in range(40):
+        name, street, number, mail = f"{given[i % 5]} {family[i // 5 % 5]}", streets[i % 5].replace("12", str(12 + i)), numbers[i % 3], f"box{i}@mail{i % 7}.example"
+        text = f"My address is {street} and my phone is {number}, email {mail}." if i % 2 else f"We object to the rule.\n\nSincerely,\n{name}\n{street}\n{number}\n{mail}"
+        rows.append({"comment_id": f"c{i}", "first_name": given[i % 5], "last_name": family[i // 5 % 5], "comment_text": text})
+        planted[f"c{i}"] = [street, number, mail, *([] if i % 2 else [name])]
+    redacted = {r["comment_id"]: r["redacted"] for r in personal_data.redacted_texts(comments(rows)).collect()}
+    left = [(k, item) for k, items in planted.items() for item in items if item in redacted[k]]
+    assert not left and not [t for t in redacted.values() if re.search(r"\d{3}|Madrid|Paris|Berlin|Idaho|Springs", t)]
+    assert redacted["c0"].startswith("We object to the rule.\n\nSincerely,\n[NAME]\n[ADDRESS]")
+    assert {r["route"] for r in personal_data.scored_items(comments(rows)).where("kind in ('email', 'address', 'phone')").collect()} == {"seed", "pattern"}
+
+
 # -- p6 ------------------------------------------------------------------------------------------------------------
 
 
