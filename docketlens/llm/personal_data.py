@@ -458,7 +458,8 @@ def scored_items(comments: DataFrame) -> DataFrame:
     # A context of one instance can teach nothing.
     shared = links.groupBy("key").agg(F.count("*").alias("held"), F.max("shape").alias("shape")).where("held > 1 or shape").select("key")
     salt = lambda c: F.pmod(F.col(c), F.lit(SALTS)).cast("int").alias("salt")
-    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Never broadcast: the copies are more than the planner's estimate.
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     seeds = links.groupBy("node").agg(F.max("seed").alias("seed"))
     belief = spill(seeds.select("node", "seed", F.col("seed").alias("belief")), "p5-belief")
     useful = spill(links.select("*", salt("node")).join(spread(shared), ["key", "salt"]).select("node", "key", "weight", "shape", F.when(F.col("shape"), F.col("prior")).otherwise(0.0).alias("prior"), "salt"), "p5-links")

@@ -254,15 +254,16 @@ def judged_kinds(documents: DataFrame) -> DataFrame:
     units = spill(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_units, _UNIT_SQL), "p10-units")
     told = message_kinds(units)
     salt = F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")
-    spread = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Never broadcast: the copies are more than the planner's estimate.
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     held = units.where("h is not null").groupBy("doc_id", "h").agg(F.sum("words").alias("words")).select("*", salt)
-    marked = spill(held.join(spread, ["h", "salt"]).select("doc_id", "h", "kind", "recurs", "learned", "words"), "p10-marked")
+    marked = spill(held.join(spread(told), ["h", "salt"]).select("doc_id", "h", "kind", "recurs", "learned", "words"), "p10-marked")
     telling = marked.where(F.col("kind") != PLACEHOLDER)
     size = units.where("h is null").groupBy("doc_id").agg(F.sum("words").alias("all"))
     shares = telling.groupBy("doc_id").agg(F.sum("words").alias("residue")).join(size, "doc_id").select("doc_id", "all", (F.col("residue") >= F.col("all") * SHARE_ALONE).alias("alone"))
     shares = spill(shares, "p10-shares")
     stands = telling.where("recurs").join(shares, "doc_id").groupBy("h").agg(F.avg(F.col("alone").cast("int")).alias("alone"))
-    trusted = stands.where(F.col("alone") >= TRUST).select("h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    trusted = spread(stands.where(F.col("alone") >= TRUST).select("h"))
     sure = telling.where("recurs").select("*", salt).join(trusted, ["h", "salt"]).select("doc_id", "kind")
     sure = sure.unionAll(marked.where((F.col("kind").isin(LATIN, PLACEHOLDER)) & F.col("recurs")).select("doc_id", "kind"))
     # Messages seen once, and recurring ones beside them, by their share of the document.

@@ -124,8 +124,7 @@ def test_components(spark):
 # -- p2 ------------------------------------------------------------------------------------------------------------
 
 
-def test_percentiles_select_exactly(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "READ_OFF", 5)
+def test_percentiles_select_exactly(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), "x", int(rng.paretovariate(0.4)) if rng.random() > 0.1 else None, "z", "z") for _ in range(4000)] + [("one", None, 7, "z", "z"), ("none", "x", None, "z", "z")] + [("ties", "x", 3, "z", "z")] * 50
     df = spark.createDataFrame(rows, "agency string, submission_channel string, comment_count long, value string, n string")
@@ -149,6 +148,16 @@ def test_percentiles_select_exactly(spark, monkeypatch):
     assert percentiles.multi_select(percentiles.partials(df.where("false"), groups, "comment_count"), groups).count() == 0
 
 
+def test_selection_decides_small_groups_and_negative_values(spark):
+    values = [-(2**63), -1000, -7, -7, 0, 3, 255, 256, 70000, 2**62]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v long")
+    _, found, rounds = percentiles.selected(percentiles.partials(df, ["g"], "v"), ["g"])
+    got = {r["q"]: r["value"] for r in found.collect()}
+    assert rounds > 0 and got == {q: sorted(values)[max(1, math.ceil(round(q * 10, 9))) - 1] for q in percentiles.QUANTILES.values()}
+    short = {r["value"] for r in percentiles.partials(df, ["g"], "v", bits=3).collect()}
+    assert short == {-(2**63), -960, -7, 0, 3, 240, 256, 65536, 2**62}
+
+
 # -- p3 ------------------------------------------------------------------------------------------------------------
 
 
