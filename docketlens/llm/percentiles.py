@@ -72,10 +72,12 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def selected(counts: DataFrame, groups: list[str], quantiles: dict[str, float] = QUANTILES) -> tuple[DataFrame, DataFrame, int]:
-    """(totals per group, (g, q, value) of every wanted rank, number of rounds)."""
+    """(totals per group with its columns as _c0, _c1 ..., (g, q, value) of every wanted rank, number of rounds)."""
     key = F.xxhash64(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(groups)])))
-    active = spill(counts.groupBy(*groups, "value").agg(F.sum("n").alias("n")).select(*groups, key.alias("g"), F.lit(0).cast("long").alias("r"), "value", "n"), "p2-active0")
-    totals = spill(active.groupBy("g", *groups).agg(F.sum("n").alias("n_known")), "p2-totals")
+    inner = [f"_c{i}" for i in range(len(groups))]
+    merged = counts.groupBy(*groups, "value").agg(F.sum("n").alias("n")).select(*[F.col(c).alias(i) for c, i in zip(groups, inner)], key.alias("g"), "value", "n")
+    active = spill(merged.select(*inner, "g", F.lit(0).cast("long").alias("r"), "value", "n"), "p2-active0")
+    totals = spill(active.groupBy("g", *inner).agg(F.sum("n").alias("n_known")), "p2-totals")
     wanted = F.array(*[F.lit(float(q)) for q in quantiles.values()])
     rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("n_known"), 9))).cast("long")
     # A wanted rank: the k-th value of range r of group g.
@@ -112,4 +114,5 @@ def multi_select(counts: DataFrame, groups: list[str], quantiles: dict[str, floa
     """
     totals, values, _ = selected(counts, groups, quantiles)
     named = values.groupBy("g").agg(*[F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(name) for name, q in quantiles.items()])
-    return totals.join(named, "g").drop("g")
+    joined = totals.join(named, "g")
+    return joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(groups)], "n_known", *quantiles)
