@@ -1,12 +1,13 @@
 """Near-duplicate comments by Golay-coded fuzzy fingerprints.
 
-A text gets ``SEGMENTS`` fingerprint segments.  Each segment picks one run of
-``ANCHOR`` words by min-hash and takes a 23-bit sign hash of the words around
-it.  The 23-bit word is decoded to the Golay codewords near it, which gives one
-to six keys per segment.  Edits spread over the text, so by the pigeonhole some
-segment carries at most two wrong bits and two near copies share a key.
-Candidates are filtered by a 128-bit sketch inside the join and then verified
-exactly on their distinct runs of three words.
+The fingerprint of a text is ``WORDS`` segments of 23 bits, one-bit min-hashes of all
+its words.  Each segment is decoded to the Golay codewords near it, which gives one to
+six indices; two segments within two wrong bits always share one.  Edits flip bits all
+over the fingerprint, and by the pigeonhole some segment of two near copies has few.
+An index of 12 bits alone would meet a large part of a big collection, so it is joined
+together with the least hash of the text's runs of ``ANCHOR`` words, of which there are
+``SEGMENTS``, each with one of the fingerprint's segments.  What meets is filtered by a
+128-bit sketch and then verified exactly on distinct runs of three words.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from docketlens.llm import textops as tx
 from docketlens.llm.graph import components
 from docketlens.session import spill
 
-SEGMENTS, ANCHOR = 10, 7
-#: Words around the anchor that a segment's 23 bits depend on: narrow ones survive moved sentences, wide ones tell stock phrases apart.
-REACH = (4, 4, 4, 4, 4, 4, 4, 4, 1, 1)
+#: Keys of a text, segments of its fingerprint, and words of an anchoring run.
+SEGMENTS, WORDS, ANCHOR = 16, 8, 5
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
 SKETCH_BITS = 128
-#: Low bits of the second sketch half that carry the number of the segment through the join.
-TAG_BITS = 4
+#: How far the sketches of a pair at the threshold may lie apart, in standard deviations.
+DEVIATIONS = 3.0
 #: Texts of one component that are verified together; larger components are split into blocks of it.
 GROUP_BLOCK = 10_000
 #: Copies of one text that are named while pairs are verified; texts with more are spread by a join.
@@ -38,7 +38,7 @@ FIELDS = ("comment_text", "attachment_text")
 U64 = np.uint64
 
 
-def sketch_limit(threshold: float, deviations: float, bits: int = SKETCH_BITS - TAG_BITS) -> int:
+def sketch_limit(threshold: float, deviations: float, bits: int = SKETCH_BITS) -> int:
     """Largest distance of two sketches that is still examined: mean at the threshold plus some standard deviations."""
     differ = (1 - threshold) / 2
     return int(np.ceil(bits * differ + deviations * np.sqrt(bits * differ * (1 - differ))))
@@ -56,28 +56,21 @@ def text_hash(flat: np.ndarray, lengths: np.ndarray, salt: int) -> np.ndarray:
 
 
 def fingerprints(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, 23-bit context word), each (texts, SEGMENTS); texts shorter than ANCHOR words are not allowed."""
-    runs_hash, at, runs = tx.shingles(flat, lengths, ANCHOR)
+    """(least hash of word runs (texts, SEGMENTS), 23-bit segments (texts, WORDS)); texts shorter than ANCHOR words are not allowed."""
+    runs_hash, _, runs = tx.shingles(flat, lengths, ANCHOR)
     first = np.concatenate(([0], np.cumsum(runs)[:-1]))
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    end = begin + lengths
     anchors = np.empty((len(lengths), SEGMENTS), U64)
-    context = np.zeros((len(lengths), SEGMENTS), np.int64)
-    text = np.repeat(np.arange(len(lengths)), runs)
     for k in range(SEGMENTS):
-        value = tx.mix64(runs_hash ^ _seed(k))
-        least = np.minimum.reduceat(value, first)
-        hit = np.nonzero(value == least[text])[0]
-        place = np.empty(len(lengths), np.int64)
-        place[text[hit[::-1]]] = at[hit[::-1]]
-        window = place[:, None] + np.arange(-REACH[k], ANCHOR + REACH[k])[None, :]
-        inside = (window >= begin[:, None]) & (window < end[:, None])
-        around = tx.mix64(flat[np.clip(window, 0, len(flat) - 1)])
-        for b in range(golay.BITS):
-            votes = ((((around >> U64(b)) & U64(1)).astype(np.int8) * 2 - 1) * inside).sum(axis=1)
-            context[:, k] |= (votes > 0).astype(np.int64) << b
-        anchors[:, k] = tx.mix64(least + _seed(k + 101))
-    return anchors, context
+        anchors[:, k] = tx.mix64(np.minimum.reduceat(tx.mix64(runs_hash ^ _seed(k)), first) + _seed(k + 101))
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    words = np.zeros((len(lengths), WORDS), np.uint32)
+    for lane in range(golay.BITS * WORDS):
+        if lane % 8 == 0:
+            base = (tx.mix64(flat ^ _seed(lane + 5007)) >> U64(32)).astype(np.uint32)
+        # eight min-hashes from one hash: an odd multiplier permutes its values
+        least = np.minimum.reduceat(base * np.uint32(2 * (lane % 8 * 977 + 3) + 1) if lane % 8 else base, begin)
+        words[:, lane // golay.BITS] |= (tx.mix64(least.astype(U64)) & U64(1)).astype(np.uint32) << np.uint32(lane % golay.BITS)
+    return anchors, words
 
 
 def sketches(run_hash: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -122,14 +115,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             sk, fp, sh = [None] * n, [None] * n, [None] * n
             if fresh.any():
                 flat, part = flat[np.repeat(fresh, lengths)], lengths[fresh]
-                anchors, context = fingerprints(flat, part)
+                anchors, segments = fingerprints(flat, part)
                 run_hash, _, runs = tx.shingles(flat, part, RUN)
                 both = sketches(run_hash, runs)
                 small = (run_hash >> U64(32)).astype(np.uint32)
                 edge = np.concatenate(([0], np.cumsum(runs)))
                 for j, i in enumerate(np.nonzero(fresh)[0]):
                     sk[i] = both[j].tobytes()
-                    fp[i] = anchors[j].tobytes() + context[j].astype(np.uint32).tobytes()
+                    fp[i] = anchors[j].tobytes() + segments[j].tobytes()
                     sh[i] = np.unique(small[edge[j] : edge[j + 1]]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([field] * n), ids.take(pa.array(keep)).cast(pa.string()), pa.array(tx.signed(h)), pa.array(sk, pa.binary()), pa.array(fp, pa.binary()), pa.array(sh, pa.binary())], schema=_DOC)
 
@@ -142,67 +135,82 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, 12 * SEGMENTS)
+        fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, 8 * SEGMENTS + 4 * WORDS)
         anchors = np.ascontiguousarray(fp[:, : 8 * SEGMENTS]).view(np.int64).ravel()
-        words = np.ascontiguousarray(fp[:, 8 * SEGMENTS :]).view(np.int32).ravel()
+        words = np.ascontiguousarray(fp[:, 8 * SEGMENTS :]).view(np.int32)[:, np.arange(SEGMENTS) % WORDS].ravel()
         sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.int64).reshape(n, 2)
-        h = np.repeat(batch.column("h").to_numpy(), SEGMENTS)
-        tagged = np.repeat(sk[:, 1] >> TAG_BITS << TAG_BITS, SEGMENTS) | np.tile(np.arange(SEGMENTS), n)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), pa.array(h), pa.array(np.repeat(sk[:, 0], SEGMENTS)), pa.array(tagged)], schema=_SEG)
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), *(pa.array(np.repeat(c, SEGMENTS)) for c in (batch.column("h").to_numpy(), sk[:, 0], sk[:, 1]))], schema=_SEG)
 
 
-_KEY = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+#: Rows that share a fuzzy key up to which they are paired where they meet; more are paired by a join.  Rows of one anchor that are looked at together.
+KEY_ROWS, ANCHOR_ROWS = 128, 200_000
+_MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+_MET_SQL = "key long, a long, b long, s0 long, s1 long"
 
 
-#: Rows of one anchor up to which keys that meet nothing are dropped before the shuffle.
-ANCHOR_ROWS = 200_000
+def _pairs_within(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs within consecutive groups of a sorted array."""
+    left, right = [], []
+    for size in np.unique(rows):
+        i, j = np.triu_indices(size, 1)
+        at = start[rows == size][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fuzzy keys of rows that come sorted by anchor, without the keys that would join nothing new.
+def _meet(limit: int, key_rows: int, anchor_rows: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) of texts that share a fuzzy key and have close sketches, from rows that come sorted by anchor.
 
-    Whole anchors are looked at together; one of more than ANCHOR_ROWS rows is
-    passed on in parts with all its keys.
-    """
-    split: int | None = None
-
-    def keys(table: pa.Table, whole: bool) -> pa.RecordBatch:
-        codes = golay.fuzzy_keys(table.column("word").to_numpy())
-        some = codes >= 0
-        times = some.sum(axis=1)
-        anchor = np.repeat(table.column("anchor").to_numpy(), times).view(U64)
-        key = tx.mix64(anchor + codes[some].astype(U64))
-        columns = [tx.signed(key)] + [np.repeat(table.column(c).to_numpy(), times) for c in ("h", "s0", "s1")]
-        if whole:
-            word = np.repeat(table.column("word").to_numpy(), times).astype(np.int64)
-            nearest = np.zeros(some.shape, bool)
-            nearest[:, 0] = True
-            _, place, rows = np.unique(key, return_inverse=True, return_counts=True)
-            # Texts with one and the same word meet by its nearest codeword alone; the other keys serve different words.
-            kinds = np.unique(np.stack([place, word]), axis=1)
-            words = np.bincount(kinds[0], minlength=len(rows))
-            met = (words[place] > 1) | (nearest[some] & (rows[place] > 1))
+        Keys of more than ``key_rows`` rows, and all keys of an anchor of more than
+        ``anchor_rows`` rows (which comes in parts), are passed on as rows (key, a) for a join.
+        """
+        split: int | None = None
+
+        def met(table: pa.Table, whole: bool) -> pa.RecordBatch:
+            codes = golay.fuzzy_keys(table.column("word").to_numpy())
+            some = codes >= 0
+            times = some.sum(axis=1)
+            anchor = np.repeat(table.column("anchor").to_numpy(), times)
+            key = tx.mix64(anchor.view(U64) + codes[some].astype(U64))
+            order = np.argsort(key, kind="stable")
+            key, anchor = key[order], anchor[order]
+            h, s0, s1 = (np.repeat(table.column(c).to_numpy(), times)[order] for c in ("h", "s0", "s1"))
+            _, start, rows = np.unique(key, return_index=True, return_counts=True)
+            joined = np.full(len(rows), not whole) | (rows > key_rows)
             if split is not None:
-                met |= tx.signed(anchor) == split
-            columns = [c[met] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_KEY)
+                joined |= anchor[start] == split
+            by_join = np.repeat(joined, rows)
+            small = ~joined & (rows > 1)
+            i, j = _pairs_within(start[small], rows[small]) if small.any() else (np.empty(0, np.int64),) * 2
+            # Of signed numbers numpy would count the bits of the absolute value.
+            apart = np.bitwise_count((s0[i] ^ s0[j]).view(U64)).astype(np.int64) + np.bitwise_count((s1[i] ^ s1[j]).view(U64))
+            near = (apart <= limit) & (h[i] != h[j])
+            pair = np.unique(np.stack([np.minimum(h[i], h[j])[near], np.maximum(h[i], h[j])[near]]), axis=1)
+            none = pa.nulls(pair.shape[1], pa.int64())
+            rest = [tx.signed(key[by_join]), h[by_join], pa.nulls(int(by_join.sum()), pa.int64()), s0[by_join], s1[by_join]]
+            columns = [pa.concat_arrays([pa.array(x), pa.array(y)]) for x, y in zip((none, pair[0], pair[1], none, none), rest)]
+            return pa.RecordBatch.from_arrays(columns, schema=_MET)
+
+        waiting: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            anchors = waiting.column("anchor").to_numpy()
+            if len(anchors) < min(20_000, anchor_rows):
+                continue
+            last = int(np.searchsorted(anchors, anchors[-1], side="left"))
+            if last:
+                yield met(waiting.slice(0, last), True)
+                waiting = waiting.slice(last)
+            elif len(anchors) > anchor_rows:
+                yield met(waiting, False)
+                split, waiting = int(anchors[-1]), None
+        if waiting is not None and waiting.num_rows:
+            yield met(waiting, True)
 
-    waiting: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        waiting = table if waiting is None else pa.concat_tables([waiting, table])
-        anchors = waiting.column("anchor").to_numpy()
-        if len(anchors) < 20_000:
-            continue
-        last = int(np.searchsorted(anchors, anchors[-1], side="left"))
-        if last:
-            yield keys(waiting.slice(0, last), True)
-            waiting = waiting.slice(last)
-        elif len(anchors) > ANCHOR_ROWS:
-            yield keys(waiting, False)
-            split, waiting = int(anchors[-1]), None
-    if waiting is not None and waiting.num_rows:
-        yield keys(waiting, True)
+    return meet
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -256,18 +264,13 @@ def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """Pairs (a, b), a < b, of different texts that share a fuzzy key and have close sketches."""
     segments = texts.where("fp is not null").select("h", "sk", "fp").mapInArrow(_unpack, "anchor long, word int, h long, s0 long, s1 long")
     by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"]).sortWithinPartitions("anchor")
-    # Written out, so that the shuffle of all anchors is gone before the one of the keys begins.
-    keys = spill(by_anchor.mapInArrow(_expand, "key long, h long, s0 long, s1 long"), "p1-keys")
+    limit = sketch_limit(threshold, DEVIATIONS)
+    met = spill(by_anchor.mapInArrow(_meet(limit, KEY_ROWS, ANCHOR_ROWS), _MET_SQL), "p1-met")
+    keys = met.where("key is not null").select("key", F.col("a").alias("h"), "s0", "s1")
     x, y = keys.alias("x"), keys.alias("y")
-    apart = F.expr(f"cast(bit_count(x.s0 ^ y.s0) + bit_count((x.s1 ^ y.s1) >> {TAG_BITS}) as int)")
-    segment = F.expr(f"shiftleft(1, cast(x.s1 & {(1 << TAG_BITS) - 1} as int))")
-    # A narrow window may be a stock phrase, so that it asks for closer sketches (a true pair that only narrow windows join is lost with p < 0.025).
-    narrow = F.expr(f"(x.s1 & {(1 << TAG_BITS) - 1}) >= {sum(r > 1 for r in REACH)}")
-    limit = F.when(narrow, sketch_limit(threshold, 2.0)).otherwise(sketch_limit(threshold, 3.0))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= limit))
-    pairs = met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), apart.alias("apart"), segment.alias("segment")).groupBy("a", "b").agg(F.min("apart").alias("apart"), F.bit_or("segment").alias("segments"))
-    # One shared segment alone is weak evidence: then the sketches must be closer.
-    return pairs.where((F.bit_count("segments") > 1) | (F.col("apart") <= sketch_limit(threshold, 1.6))).select("a", "b")
+    apart = F.expr("cast(bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) as int)")
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= limit)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    return met.where("key is null").select("a", "b").unionAll(joined).distinct()
 
 
 def contracted(pairs: DataFrame) -> DataFrame:

@@ -114,6 +114,28 @@ def test_hot_copies_are_spread_and_grouped(comments, monkeypatch):
     assert len(groups) == 10 and {r["class_size"] for r in groups} == {10}
 
 
+def test_moved_sentences_and_hot_keys(comments, monkeypatch):
+    """Letters with all sentences moved, and stock letters whose keys are joined instead of paired in place, give the same pairs."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(25):
+        letter = [prose(rng, 14) for _ in range(10)]
+        for v in range(4):
+            moved = [list(x) for x in letter]
+            rng.shuffle(moved)
+            for _ in range(v):
+                x = rng.choice(moved)
+                x[rng.randrange(len(x))] = "changed"
+            rows.append({"comment_id": f"c{c}-{v}", "comment_text": ". ".join(" ".join(x) for x in moved)})
+    table, true = comments(rows), brute_pairs(rows)
+    found = {tuple(r) for r in near_duplicates.near_duplicate_pairs(table).collect()}
+    assert found <= true and len(found) >= 0.95 * len(true)
+    monkeypatch.setattr(near_duplicates, "KEY_ROWS", 1)
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(table).collect()} == found
+    monkeypatch.setattr(near_duplicates, "ANCHOR_ROWS", 2)
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(table).collect()} == found
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
