@@ -7,7 +7,7 @@ over the fingerprint, and by the pigeonhole some segment of two near copies has
 An index of 12 bits alone would meet a large part of a big collection, so it is joined
 together with the least hash of the text's runs of ``ANCHOR`` words, of which there are
 ``SEGMENTS``, each with one of the fingerprint's segments.  What meets is filtered by a
-128-bit sketch and then verified exactly on distinct runs of three words.
+256-bit sketch and then verified exactly on distinct runs of three words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from docketlens.session import spill
 #: Keys of a text, segments of its fingerprint, and words of an anchoring run.
 SEGMENTS, WORDS, ANCHOR = 16, 8, 5
 RUN, MIN_WORDS, THRESHOLD = 3, 25, 0.5
-SKETCH_BITS = 128
+SKETCH_BITS = 256
 #: How far the sketches of a pair at the threshold may lie apart, in standard deviations.
 DEVIATIONS = 3.0
 #: Texts of one component that are verified together; larger components are split into blocks of it.
@@ -55,6 +55,16 @@ def text_hash(flat: np.ndarray, lengths: np.ndarray, salt: int) -> np.ndarray:
     return tx.mix64(tx.segments_reduce(np.add, each, lengths, 0) + _seed(salt) + lengths.astype(U64))
 
 
+def one_bit_hashes(hashes: np.ndarray, first: np.ndarray, number: int, salt: int) -> Iterator[np.ndarray]:
+    """``number`` one-bit min-hashes of the consecutive groups of 64-bit hashes that begin at ``first``."""
+    for lane in range(number):
+        if lane % 8 == 0:
+            base = (tx.mix64(hashes ^ _seed(lane + salt)) >> U64(32)).astype(np.uint32)
+        # eight min-hashes from one hash: an odd multiplier permutes its values
+        least = np.minimum.reduceat(base * np.uint32(2 * (lane % 8 * 977 + 3) + 1) if lane % 8 else base, first)
+        yield tx.mix64(least.astype(U64)) & U64(1)
+
+
 def fingerprints(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(least hash of word runs (texts, SEGMENTS), 23-bit segments (texts, WORDS)); texts shorter than ANCHOR words are not allowed."""
     runs_hash, _, runs = tx.shingles(flat, lengths, ANCHOR)
@@ -62,29 +72,18 @@ def fingerprints(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     anchors = np.empty((len(lengths), SEGMENTS), U64)
     for k in range(SEGMENTS):
         anchors[:, k] = tx.mix64(np.minimum.reduceat(tx.mix64(runs_hash ^ _seed(k)), first) + _seed(k + 101))
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     words = np.zeros((len(lengths), WORDS), np.uint32)
-    for lane in range(golay.BITS * WORDS):
-        if lane % 8 == 0:
-            base = (tx.mix64(flat ^ _seed(lane + 5007)) >> U64(32)).astype(np.uint32)
-        # eight min-hashes from one hash: an odd multiplier permutes its values
-        least = np.minimum.reduceat(base * np.uint32(2 * (lane % 8 * 977 + 3) + 1) if lane % 8 else base, begin)
-        words[:, lane // golay.BITS] |= (tx.mix64(least.astype(U64)) & U64(1)).astype(np.uint32) << np.uint32(lane % golay.BITS)
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    for lane, bit in enumerate(one_bit_hashes(flat, begin, golay.BITS * WORDS, 5007)):
+        words[:, lane // golay.BITS] |= bit.astype(np.uint32) << np.uint32(lane % golay.BITS)
     return anchors, words
 
 
 def sketches(run_hash: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """128 one-bit min-hashes of each text's word runs as two uint64."""
-    out = np.zeros((len(runs), 2), U64)
-    first = np.concatenate(([0], np.cumsum(runs)[:-1]))
-    for k in range(SKETCH_BITS // 8):
-        # eight bits from one 64-bit hash: an 8-bit permutation per byte lane
-        base = tx.mix64(run_hash ^ _seed(k + 307))
-        for lane in range(8):
-            value = base * U64(2 * (lane * 977 + 3) + 1) if lane else base
-            low = tx.segments_reduce(np.minimum, value, runs, 0) if len(runs) != len(first) else np.minimum.reduceat(value, first)
-            bit = (tx.mix64(low) & U64(1)) << U64((k * 8 + lane) % 64)
-            out[:, (k * 8 + lane) // 64] |= bit
+    """SKETCH_BITS one-bit min-hashes of each text's word runs as uint64; every text has runs."""
+    out = np.zeros((len(runs), SKETCH_BITS // 64), U64)
+    for lane, bit in enumerate(one_bit_hashes(run_hash, np.concatenate(([0], np.cumsum(runs)[:-1])), SKETCH_BITS, 307)):
+        out[:, lane // 64] |= bit << U64(lane % 64)
     return out
 
 
@@ -127,7 +126,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array([field] * n), ids.take(pa.array(keep)).cast(pa.string()), pa.array(tx.signed(h)), pa.array(sk, pa.binary()), pa.array(fp, pa.binary()), pa.array(sh, pa.binary())], schema=_DOC)
 
 
-_SEG = pa.schema([("anchor", pa.int64()), ("word", pa.int32()), ("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_SKETCH_SQL = ", ".join(f"{s} long" for s in _SKETCH)
+_SEG = pa.schema([("anchor", pa.int64()), ("word", pa.int32()), ("h", pa.int64()), *((s, pa.int64()) for s in _SKETCH)])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +139,14 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, 8 * SEGMENTS + 4 * WORDS)
         anchors = np.ascontiguousarray(fp[:, : 8 * SEGMENTS]).view(np.int64).ravel()
         words = np.ascontiguousarray(fp[:, 8 * SEGMENTS :]).view(np.int32)[:, np.arange(SEGMENTS) % WORDS].ravel()
-        sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.int64).reshape(n, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), *(pa.array(np.repeat(c, SEGMENTS)) for c in (batch.column("h").to_numpy(), sk[:, 0], sk[:, 1]))], schema=_SEG)
+        sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.int64).reshape(n, len(_SKETCH))
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(words), *(pa.array(np.repeat(c, SEGMENTS)) for c in (batch.column("h").to_numpy(), *sk.T))], schema=_SEG)
 
 
 #: Rows that share a fuzzy key up to which they are paired where they meet; more are paired by a join.  Rows of one anchor that are looked at together.
 KEY_ROWS, ANCHOR_ROWS = 128, 200_000
-_MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
-_MET_SQL = "key long, a long, b long, s0 long, s1 long"
+_MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((s, pa.int64()) for s in _SKETCH)])
+_MET_SQL = f"key long, a long, b long, {_SKETCH_SQL}"
 
 
 def _pairs_within(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +177,7 @@ def _meet(limit: int, key_rows: int, anchor_rows: int):
             key = tx.mix64(anchor.view(U64) + codes[some].astype(U64))
             order = np.argsort(key, kind="stable")
             key, anchor = key[order], anchor[order]
-            h, s0, s1 = (np.repeat(table.column(c).to_numpy(), times)[order] for c in ("h", "s0", "s1"))
+            h, *sketch = (np.repeat(table.column(c).to_numpy(), times)[order] for c in ("h", *_SKETCH))
             _, start, rows = np.unique(key, return_index=True, return_counts=True)
             joined = np.full(len(rows), not whole) | (rows > key_rows)
             if split is not None:
@@ -185,12 +186,12 @@ def _meet(limit: int, key_rows: int, anchor_rows: int):
             small = ~joined & (rows > 1)
             i, j = _pairs_within(start[small], rows[small]) if small.any() else (np.empty(0, np.int64),) * 2
             # Of signed numbers numpy would count the bits of the absolute value.
-            apart = np.bitwise_count((s0[i] ^ s0[j]).view(U64)).astype(np.int64) + np.bitwise_count((s1[i] ^ s1[j]).view(U64))
+            apart = sum(np.bitwise_count((part[i] ^ part[j]).view(U64)).astype(np.int64) for part in sketch)
             near = (apart <= limit) & (h[i] != h[j])
             pair = np.unique(np.stack([np.minimum(h[i], h[j])[near], np.maximum(h[i], h[j])[near]]), axis=1)
             none = pa.nulls(pair.shape[1], pa.int64())
-            rest = [tx.signed(key[by_join]), h[by_join], pa.nulls(int(by_join.sum()), pa.int64()), s0[by_join], s1[by_join]]
-            columns = [pa.concat_arrays([pa.array(x), pa.array(y)]) for x, y in zip((none, pair[0], pair[1], none, none), rest)]
+            rest = [tx.signed(key[by_join]), h[by_join], pa.nulls(int(by_join.sum()), pa.int64()), *(part[by_join] for part in sketch)]
+            columns = [pa.concat_arrays([pa.array(x), pa.array(y)]) for x, y in zip((none, pair[0], pair[1], *[none] * len(sketch)), rest)]
             return pa.RecordBatch.from_arrays(columns, schema=_MET)
 
         waiting: pa.Table | None = None
@@ -262,13 +263,13 @@ def fingerprint_table(comments: DataFrame) -> DataFrame:
 
 def candidate_pairs(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b), a < b, of different texts that share a fuzzy key and have close sketches."""
-    segments = texts.where("fp is not null").select("h", "sk", "fp").mapInArrow(_unpack, "anchor long, word int, h long, s0 long, s1 long")
+    segments = texts.where("fp is not null").select("h", "sk", "fp").mapInArrow(_unpack, f"anchor long, word int, h long, {_SKETCH_SQL}")
     by_anchor = segments.repartition("anchor").dropDuplicates(["anchor", "h"]).sortWithinPartitions("anchor")
     limit = sketch_limit(threshold, DEVIATIONS)
     met = spill(by_anchor.mapInArrow(_meet(limit, KEY_ROWS, ANCHOR_ROWS), _MET_SQL), "p1-met")
-    keys = met.where("key is not null").select("key", F.col("a").alias("h"), "s0", "s1")
+    keys = met.where("key is not null").select("key", F.col("a").alias("h"), *_SKETCH)
     x, y = keys.alias("x"), keys.alias("y")
-    apart = F.expr("cast(bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) as int)")
+    apart = F.expr(" + ".join(f"bit_count(x.{s} ^ y.{s})" for s in _SKETCH))
     joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (apart <= limit)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
     return met.where("key is null").select("a", "b").unionAll(joined).distinct()
 
