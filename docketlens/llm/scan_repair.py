@@ -27,7 +27,11 @@ BODY, HEADER, BREAK = 0, 1, 2
 MIN_LINES, MAX_WIDTH = 4, 90
 #: How much commoner the corrected word must be: with a digit or sign inside the word, and by letters only.
 SIGN_RATIO, LETTER_RATIO, MIN_COUNT = 4, 40, 4
-MAX_UNDONE = 3
+MAX_UNDONE, LONG_WORD = 3, 24
+#: A word in more than this share of all texts is no remainder of a split one.
+PART_SHARE = 0.005
+#: Bits of the sieve of misread tokens: 2 MB at any size of input.
+SIEVE_BITS = 1 << 24
 
 # What print becomes when misread, as (read, printed).
 MISREAD_SIGNS = (("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("@", "a"), ("9", "g"), ("6", "b"), ("8", "b"))
@@ -235,7 +239,8 @@ def corrections(token: str) -> Iterator[tuple[str, bool]]:
         return
     letters = [(i, read, printed, False) for read, printed in MISREAD_LETTERS for i in range(len(token)) if token.startswith(read, i)]
     signs_needed = len({p[0] for p in places})
-    for k in range(1, MAX_UNDONE + 1):
+    # In very long words one misreading at most, so that the work stays in proportion to their length.
+    for k in range(1, (MAX_UNDONE if len(token) <= LONG_WORD else 1) + 1):
         for chosen in combinations(places + letters, k):
             by_sign = sum(c[3] for c in chosen)
             # Signs inside a word are all undone; letters on their own at most one at a time, two with signs.
@@ -274,7 +279,7 @@ def vocabulary(attachments: DataFrame) -> DataFrame:
 
 def misread_table(words: DataFrame) -> DataFrame:
     """(token, word): tokens that are misread forms of a far commoner word, with the commonest such word."""
-    open_tokens = words.where((F.length("token") >= 2) & (F.length("token") <= 24) & (F.col("token").rlike("[0-9@]") & F.col("token").rlike("(?U)\\p{L}") | (F.length("token") >= 4)))
+    open_tokens = words.where((F.length("token") >= 2) & (F.col("token").rlike("[0-9@]") & F.col("token").rlike("(?U)\\p{L}") | (F.length("token") >= 4)))
     # Only words that can be corrected to something commoner matter: the commonest words never are.
     proposed = open_tokens.mapInArrow(_propose, "token string, n long, word string, signs boolean")
     known = words.where(F.col("n") >= MIN_COUNT).select(F.col("token").alias("word"), F.col("n").alias("word_n"))
@@ -286,8 +291,41 @@ _NOTE = pa.schema([("comment_id", pa.string()), ("kind", pa.string()), ("a", pa.
 _NOTE_SQL = "comment_id string, kind string, a string, b string, c string"
 
 
-def _noter(model):
+_PLACE = pa.schema([("word", pa.int32()), ("bit", pa.int64())])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = np.array([_hash(t) % SIEVE_BITS for t in batch.column("token").to_pylist()], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((place >> 5).astype(np.int32)), pa.array(np.int64(1) << (place & 31))], schema=_PLACE)
+
+
+def misread_sieve(misread: DataFrame) -> np.ndarray:
+    """Bit set of all misread tokens; of fixed size, so that it lets more through, but never loses one, as tokens grow."""
+    rows = misread.select("token").mapInArrow(_places, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(SIEVE_BITS // 32, np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+class Sifted(dict):
+    """token -> whether it may be a misread one; a bounded memo in front of the sieve."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) >= 1_000_000:
+            self.clear()
+        place = _hash(token) % SIEVE_BITS
+        self[token] = value = bool(self.bits[place >> 5] >> (place & 31) & 1)
+        return value
+
+
+def _noter(model, sieve: np.ndarray):
     def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sifted = Sifted(sieve)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
 
@@ -311,7 +349,7 @@ def _noter(model):
                 for line, label in zip(lines, labels):
                     seen.update(_TOKEN.findall(line[0].lower()))
                 for token in seen - fragments:
-                    if "-" not in token and 2 <= len(token) <= 24 and (len(token) >= 4 or not token.isalpha()) and not token.isdigit():
+                    if sifted[token]:
                         add(comment_id, "token", token, None, None)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], schema=_NOTE)
 
@@ -342,22 +380,26 @@ def _attachments(comments: DataFrame) -> DataFrame:
     return comments.where("comment_id is not null and attachment_text is not null").select("comment_id", "attachment_text")
 
 
-def scan_notes(comments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(noise notes per comment: kind and, for words, what stands and what belongs there; misread table)."""
+def scan_notes(comments: DataFrame) -> tuple[DataFrame, tuple]:
+    """(noise notes per comment: kind and, for words, what stands and what belongs there; the line model)."""
     attachments = _attachments(comments)
     model = layout_model(attachments)
     words = vocabulary(attachments)
     misread = misread_table(words)
-    notes = spill(attachments.mapInArrow(_noter(model), _NOTE_SQL), "p7-notes")
+    # Only tokens that may be misread are noted, so that common words never meet a shuffle.
+    notes = spill(attachments.mapInArrow(_noter(model, misread_sieve(misread)), _NOTE_SQL), "p7-notes")
     furniture = notes.where(F.col("kind").isin("running_header", "page_number", "hyphenation")).select("comment_id", "kind", "a", F.col("a").alias("word"))
+    # Each different split word is looked up once.
+    apart = notes.where("kind = 'split'").select("a", "b", "c").distinct()
     count = lambda name: words.select(F.col("token").alias(name), F.col("n").alias(f"{name}_n"))
-    split = notes.where("kind = 'split'").join(count("a"), "a", "left").join(count("b"), "b", "left").join(count("c"), "c", "left")
+    known = apart.join(count("a"), "a", "left").join(count("b"), "b", "left").join(count("c"), "c", "left")
     # The mark is the word's own if the hyphenated word is commoner; where neither is known, a common right part speaks for two words.
     joined, own, part = F.coalesce("a_n", F.lit(0)), F.coalesce("b_n", F.lit(0)), F.coalesce("c_n", F.lit(0))
-    noise = (joined > own) | ((joined == 0) & (own == 0) & (part < 20))
-    hyphens = split.where(noise).select("comment_id", F.lit("hyphenation").alias("kind"), F.col("b").alias("a"), F.col("a").alias("word"))
+    noise = (joined > own) | ((joined == 0) & (own == 0) & (part <= PART_SHARE * attachments.count()))
+    split = known.where(noise).select("b", F.col("a").alias("word"))
+    hyphens = notes.where("kind = 'split'").select("comment_id", "b").join(split, "b").select("comment_id", F.lit("hyphenation").alias("kind"), F.col("b").alias("a"), "word")
     wrong = notes.where("kind = 'token'").select("comment_id", F.col("a").alias("token")).join(misread, "token").select("comment_id", F.lit("misread").alias("kind"), F.col("token").alias("a"), "word")
-    return furniture.unionByName(hyphens).unionByName(wrong), misread
+    return furniture.unionByName(hyphens).unionByName(wrong), model
 
 
 def noise_kinds(comments: DataFrame) -> DataFrame:
@@ -424,8 +466,7 @@ def paragraphs(lines: list[tuple[str, bool, bool]], labels: list[int], fixes: di
 
 def repaired_texts(comments: DataFrame) -> DataFrame:
     """p7: (comment_id, repaired_text) of the attachments that hold scan noise; repeats of a comment give one row per different text."""
-    notes, _ = scan_notes(comments)
+    notes, model = scan_notes(comments)
     per_comment = notes.groupBy("comment_id").agg(F.collect_set(F.struct("a", "word")).alias("notes"))
     attachments = _attachments(comments)
-    model = layout_model(attachments)
     return attachments.join(per_comment, "comment_id").mapInArrow(_rebuilder(model), "comment_id string, repaired_text string").distinct()

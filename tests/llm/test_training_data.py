@@ -332,6 +332,16 @@ def test_scan_noise(comments):
     assert scan_repair.noise_kinds(comments([])).count() == 0
 
 
+def test_misreadings_in_very_long_words(comments):
+    """Words beyond LONG_WORD letters are corrected too, and the sieve loses no token."""
+    rng = random.Random(6)
+    long = "wasserrechtsbewilligungsverfahren"
+    rows = [{"comment_id": f"ok{i}", "attachment_text": "\n".join([f"{long} {page(rng)[0]}", *page(rng)])} for i in range(60)]
+    rows += [{"comment_id": "mi", "attachment_text": "\n".join([f"{long.replace('b', '6')} {page(rng)[0]}", *page(rng)])}]
+    assert {tuple(r) for r in scan_repair.noise_kinds(comments(rows)).collect()} == {("mi", "misread")}
+    assert long in scan_repair.repaired_texts(comments(rows)).first()["repaired_text"]
+
+
 # -- p8 ------------------------------------------------------------------------------------------------------------
 
 
