@@ -2,7 +2,7 @@
 
 Lines are labelled body, header or break (printed page number) by a hidden
 Markov model over layout features.  Its parameters are estimated by EM on a
-bounded sample of texts (SAMPLE texts, the lowest hashes of comment_id).  Words
+bounded sample of texts (SAMPLE texts, the lowest hashes of comment_id and text).  Words
 split across lines and misread words are settled by counts over all texts:
 a split is noise if the joined word is commoner than the hyphenated one, and a
 word is misread if undoing customary misreadings gives a far commoner word.
@@ -370,10 +370,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def layout_model(attachments: DataFrame):
-    """The line model, estimated on the feature sequences of at most SAMPLE texts (the lowest hashes of comment_id)."""
-    sample = attachments.orderBy(F.xxhash64("comment_id"), "comment_id").limit(SAMPLE)
-    rows = sample.select("attachment_text").mapInArrow(_feature_batches, "features binary").collect()
-    return train([np.frombuffer(bytes(r[0]), np.int8).reshape(-1, len(FEATURES)) for r in rows])
+    """The line model, estimated on the feature sequences of at most SAMPLE texts (the lowest hashes of comment_id and text).
+
+    Only hashes are ordered; the texts themselves stay where they are.
+    """
+    hashed = attachments.withColumn("h", F.xxhash64("comment_id", "attachment_text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    rows = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select("attachment_text").mapInArrow(_feature_batches, "features binary").collect()
+    return train(sorted((np.frombuffer(bytes(r[0]), np.int8).reshape(-1, len(FEATURES)) for r in rows), key=lambda f: f.tobytes()))
 
 
 def _attachments(comments: DataFrame) -> DataFrame:
