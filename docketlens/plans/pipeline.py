@@ -14,6 +14,8 @@ from docketlens.sources import harvest
 from docketlens.streaming import incremental
 
 QUERIES, SQL = {}, {}
+#: Rows of one page of the comment cursor.
+CURSOR_PAGE = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -157,7 +159,7 @@ def _(spark, d):
     return fr(spark, d).select("document_number", F.coalesce(X.filled("regs_document_id"), F.concat(F.lit("FR-"), "document_number")).alias("regs_id"))
 
 
-@query("src9_csv_round_trip", "select comment_id, nullif(comment_text, '') as comment_text, attachment_count, has_attachments from comments_raw where comment_text is null or not contains(comment_text, chr(13))")
+@query("src9_csv_round_trip", "select comment_id, nullif(comment_text, '') as comment_text, attachment_count, has_attachments from comments_raw")
 def _(spark, d):
     """Comments through a CSV file with quotes and line breaks inside fields; empty fields come back as NULL."""
     rows = comments(spark, d).select("comment_id", "comment_text", "attachment_count", "has_attachments")
@@ -195,9 +197,9 @@ def _(spark, d):
 
 @query("st1_cursor_stream", "select distinct comment_id, posted_date, document_number from comments_raw where posted_date is not null and comment_id is not null")
 def _(spark, d):
-    """The whole comment list read page by page through the streaming source."""
+    """The whole comment list read page by page through the streaming source; rows without a date are left out after reading."""
     harvest.register(spark)
-    stream = spark.readStream.format("docket_comments").option("path", f"{d}/comments_raw.parquet").option("page", "2000000").load()
+    stream = spark.readStream.format("docket_comments").option("path", f"{d}/comments_raw.parquet").option("page", str(CURSOR_PAGE)).load().where("posted_date is not null")
     path = incremental.folder(spark, "cursor")
     started = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", incremental.folder(spark, "cursor-state")).start()
     started.processAllAvailable()

@@ -46,11 +46,10 @@ def _(spark, d):
     return comments(spark, d).where("comment_id is not null").select("document_number", "comment_id").join(results(spark, d).select("comment_id"), "comment_id", "left_anti").select("document_number", "comment_id")
 
 
-@query("jn4_new_ids", "select distinct comment_id from comments_raw c where posted_date >= '2023' and comment_id not in (select comment_id from comments_raw where posted_date < '2023')")
+@query("jn4_new_ids", "select distinct comment_id from comments_raw c where comment_id is not null and not exists (select 1 from makeup_data m where m.comment_id = c.comment_id)")
 def _(spark, d):
-    """Ids of a later delivery that an earlier one doesn't hold."""
-    rows = comments(spark, d).select("comment_id", "posted_date")
-    return rows.where("posted_date >= '2023'").select("comment_id").distinct().join(rows.where("posted_date < '2023'").select("comment_id"), "comment_id", "left_anti")
+    """Ids of the comment list that the labelled file doesn't hold."""
+    return comments(spark, d).where("comment_id is not null").select("comment_id").distinct().join(labelled(spark, d).select("comment_id"), "comment_id", "left_anti")
 
 
 @query("jn5_sample_with_counts", f"with {SQL_WEIGHTED} select document_number, comment_id, comment_count, comment_bin from weighted")
@@ -135,16 +134,16 @@ def _(spark, d):
     return h.join(large, ["main_agency", "sub"], "left_semi").select("comment_id", "main_agency", "sub")
 
 
-@query("jn14_category_order", f"with {SQL_SAMPLE}, o(category, ord) as (values {', '.join(f'({quoted(x)}, {i + 1})' for i, x in enumerate(X.CATEGORIES))}) select o.category, o.ord, count(s.comment_id) as n from o left join sample s on s.category = o.category and s.document_number < '2018' group by 1, 2")
+@query("jn14_category_order", f"with {SQL_SAMPLE}, o(category, ord) as (values {', '.join(f'({quoted(x)}, {i + 1})' for i, x in enumerate(X.CATEGORIES))}) select o.category, o.ord, count(s.comment_id) as n from o left join sample s on s.category = o.category group by 1, 2")
 def _(spark, d):
     order = spark.createDataFrame([(x, i + 1) for i, x in enumerate(X.CATEGORIES)], "category string, ord int")
-    n = sample(spark, d).where("document_number < '2018'").groupBy("category").agg(F.count("*").alias("n"))
+    n = sample(spark, d).groupBy("category").agg(F.count("*").alias("n"))
     return order.join(n, "category", "left").select("category", "ord", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("jn15_lookup_probe", "select c.comment_id, f.title, f.submission_channel from comments_raw c join federal_register_comments f on f.document_number = c.document_number where c.posted_date >= '2024'")
+@query("jn15_lookup_probe", "select c.comment_id, f.title, f.submission_channel from comments_raw c join federal_register_comments f on f.document_number = c.document_number")
 def _(spark, d):
-    return comments(spark, d).where("posted_date >= '2024'").select("comment_id", "document_number").join(fr(spark, d).select("document_number", "title", "submission_channel"), "document_number").select("comment_id", "title", "submission_channel")
+    return comments(spark, d).select("comment_id", "document_number").join(fr(spark, d).select("document_number", "title", "submission_channel"), "document_number").select("comment_id", "title", "submission_channel")
 
 
 # -- aggregates ----------------------------------------------------------------------------------------------------

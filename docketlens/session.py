@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Removes the shuffle files of an execution when it ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,13 +38,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, a single machine) a folder is made and remembered in the session.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a folder
+    of this machine will do only if all tasks run on it; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("docketlens.shared.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="docketlens-")
         spark.conf.set("docketlens.shared.dir", where)
     return where.rstrip("/")
@@ -58,12 +63,14 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
+    # One at a time: the option belongs to the session, which threads share.
+    with _WRITING:
+        before = spark.conf.get(_CLEAN_UP, "false")
+        spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+import heapq
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -53,31 +54,45 @@ class DocumentList(DataSource):
 
 
 class CommentCursor(SimpleDataSourceStreamReader):
-    """Pages of a comment list in order of (posted_date, comment_id); the offset is the last pair read, so ties lose nothing and nothing comes twice."""
+    """Pages of a comment list in order of (posted_date, comment_id, document_number), NULLs first.
+
+    The offset is the last such row read, so that a page may end anywhere within a
+    date or an id: nothing is lost and nothing comes twice.  A page is picked in one
+    pass over the list, holding no more than one page and one batch at a time.
+    """
 
     def __init__(self, options: dict):
         self.path, self.page = options["path"], int(options.get("page", "250"))
 
     def initialOffset(self) -> dict:
-        return {"at": "", "id": ""}
+        return {"after": None}
 
-    def _after(self, start: dict, end: dict | None) -> list[tuple]:
-        import pyarrow.compute as pc
+    @staticmethod
+    def _key(row: tuple) -> tuple:
+        return tuple((value is not None, value or "") for value in row)
+
+    def _batches(self) -> Iterator[set[tuple]]:
         import pyarrow.dataset as ds
 
-        wanted = pc.field("posted_date") >= start["at"]
-        table = ds.dataset(self.path).to_table(columns=["comment_id", "posted_date", "document_number"], filter=wanted)
-        rows = sorted({(r["posted_date"], r["comment_id"], r["document_number"]) for r in table.to_pylist() if r["comment_id"]})
-        last = (end["at"], end["id"]) if end else None
-        return [r for r in rows if (r[0], r[1]) > (start["at"], start["id"]) and (last is None or (r[0], r[1]) <= last)]
+        for batch in ds.dataset(self.path).to_batches(columns=["posted_date", "comment_id", "document_number"]):
+            dates, ids, documents = (batch.column(i).to_pylist() for i in range(3))
+            yield {row for row in zip(dates, ids, documents) if row[1]}
+
+    def _between(self, start: dict, end: dict | None) -> list[tuple]:
+        low = self._key(start["after"]) if start["after"] else None
+        high = self._key(end["after"]) if end and end["after"] else None
+        best: set[tuple] = set()
+        for rows in self._batches():
+            wanted = {r for r in rows if (low is None or self._key(r) > low) and (high is None or self._key(r) <= high)}
+            best = best | wanted if high else set(heapq.nsmallest(self.page, best | wanted, key=self._key))
+        return sorted(best, key=self._key)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._after(start, None)[: self.page]
-        end = {"at": rows[-1][0], "id": rows[-1][1]} if rows else start
-        return iter([(r[1], r[0], r[2]) for r in rows]), end
+        rows = self._between(start, None)
+        return iter([(r[1], r[0], r[2]) for r in rows]), {"after": list(rows[-1])} if rows else start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(r[1], r[0], r[2]) for r in self._after(start, end)])
+        return iter([(r[1], r[0], r[2]) for r in self._between(start, end)] if end["after"] else [])
 
 
 class CommentList(DataSource):
