@@ -1,8 +1,9 @@
-"""``python -m docketlens --data FOLDER --out FOLDER [--format parquet|json|csv] [--continue-on-error] QUERY...``
+"""``python -m docketlens --data FOLDER --out FOLDER [--format parquet|json|csv] [--year YEAR]
+[--continue-on-error] QUERY...``
 
 Runs queries of the registry and writes one result per query.  Without names all
 core queries run.  Years are rows of the tables, not processes: a query covers
-whatever years its folder holds.
+whatever years its folder holds; only calendars show one year, which ``--year`` names.
 """
 
 from __future__ import annotations
@@ -36,12 +37,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--data", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", choices=("parquet", "json", "csv"), default="parquet")
+    parser.add_argument("--year", type=int, help="calendar year of ag4, ag38, jn13 and ch16 to ch18")
     parser.add_argument("--continue-on-error", action="store_true")
     args = parser.parse_args(argv)
     unknown = set(args.queries) - registry.queries().keys()
     if unknown:
         parser.error(f"unknown queries: {', '.join(sorted(unknown))}")
-    told = run(SparkSession.builder.appName("docketlens").getOrCreate(), args.queries, args.data, args.out, args.format, args.continue_on_error)
+    spark = SparkSession.builder.appName("docketlens").getOrCreate()
+    if args.year:
+        spark.conf.set("docketlens.year", str(args.year))
+    told = run(spark, args.queries, args.data, args.out, args.format, args.continue_on_error)
     for name, state in told.items():
         print(f"{name}: {state}")
     return int(any(state != "ok" for state in told.values()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -28,6 +29,20 @@ class KeyWords:
         return next((reply for phrase, reply in self.phrases if phrase in low), "undecided")
 
 
+@dataclass(frozen=True)
+class StructuredKeyWords(KeyWords):
+    """As KeyWords, with replies in JSON; where no phrase occurs the reply is a sentence, and lobbyists get a category that doesn't exist."""
+
+    confidence: float = 0.9
+
+    def __call__(self, prompt: str) -> str:
+        reply = super().__call__(prompt)
+        if reply == "undecided":
+            return "I can't tell."
+        names = {"citizen": X.CITIZEN, "org": X.WRITTEN_ORGANIZATION, "expert": X.EXPERT}
+        return json.dumps({"category": names.get(reply, reply), "confidence": self.confidence})
+
+
 def with_retries(labeler: Labeler, prompt: str, attempts: int = ATTEMPTS, base: float = 2.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """The labeler's reply; waits 2 to 60 seconds, doubled and jittered, between failures; at last an error text."""
     for attempt in range(attempts):

@@ -269,8 +269,13 @@ _DAILY = f"days as (select {_DATE} as dt, document_number, comment_count, agency
 _SPINE = f"spine as (select unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day))::date as dt)"
 
 
+def year(spark) -> int:
+    """The calendar year of a run: ``docketlens.year`` of the session, else YEAR."""
+    return int(spark.conf.get("docketlens.year", str(YEAR)))
+
+
 def days(spark, d):
-    return fr(spark, d).select(X.iso_date("publication_date").alias("dt"), "document_number", "comment_count", "agency").where(F.year("dt") == YEAR)
+    return fr(spark, d).select(X.iso_date("publication_date").alias("dt"), "document_number", "comment_count", "agency").where(F.year("dt") == year(spark))
 
 
 def daily(rows, least: int):
@@ -280,7 +285,7 @@ def daily(rows, least: int):
 
 
 def on_spine(spark, g):
-    spine = spark.sql(f"select explode(sequence(date '{YEAR}-01-01', date '{YEAR}-12-31')) as dt")
+    spine = spark.sql(f"select explode(sequence(date '{year(spark)}-01-01', date '{year(spark)}-12-31')) as dt")
     return spine.join(g, "dt", "left").select("dt", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("docs", "engaged", "comments")], "rate")
 
 
@@ -301,7 +306,7 @@ _GRID = f"date_diff('day', date_trunc('week', date '{YEAR}-01-01')::date, s.dt)
 def _(spark, d):
     """Engagement by weekday (Monday is 0) and week of the year, with levels; days without documents have no rate."""
     g = on_spine(spark, daily(days(spark, d), 1))
-    start = F.trunc(F.lit(f"{YEAR}-01-01").cast("date"), "week")
+    start = F.trunc(F.lit(f"{year(spark)}-01-01").cast("date"), "week")
     return g.select("dt", F.weekday("dt").alias("weekday"), F.floor(F.datediff("dt", start) / 7).cast("int").alias("week"), r6(F.col("rate")).alias("rate"), X.engagement_level("rate").alias("lvl"))
 
 

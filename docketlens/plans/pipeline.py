@@ -64,12 +64,12 @@ def _(spark, d):
     return sampling.sampled_comments(minable(spark, d), ids(spark, d))
 
 
-@query("sm4_strategy_sample", f"with {_IDS}, have as (select document_number, count(*) as n from ids group by 1), t as (select document_number, least(n, greatest(1, floor(n * case when n <= 100 then 1.0::double else least(500, floor(n * 0.1::double)) / n::double end))) as take from have) select document_number, comment_id from (select i.*, take, row_number() over (partition by i.document_number order by md5('42:' || comment_id)) as rn from ids i join t on t.document_number = i.document_number) where rn <= take")
+@query("sm4_strategy_sample", f"with {_IDS}, have as (select document_number, count(*) as n from ids group by 1), t as (select document_number, least(n, greatest(1, floor(n * case when n <= 1000 then 1.0::double else least(5000, floor(n * 0.1::double)) / n::double end))) as take from have) select document_number, comment_id from (select i.*, take, row_number() over (partition by i.document_number order by md5('42:' || comment_id)) as rn from ids i join t on t.document_number = i.document_number) where rn <= take")
 def _(spark, d):
-    """All comments of a document up to 100, else a tenth, at most 500."""
+    """All comments of a document up to 1,000, else a tenth, at most 5,000."""
     rows = ids(spark, d)
     n = F.col("n")
-    rate = F.when(n <= 100, 1.0).otherwise(F.least(F.lit(500), F.floor(n * F.lit(0.1))) / n)
+    rate = X.fetch_rate("by size", n)
     takes = rows.groupBy("document_number").agg(F.count("*").alias("n")).select("document_number", F.least(n, F.greatest(F.lit(1), F.floor(n * rate))).alias("take"))
     return sampling.draw_per_group(rows.join(takes, "document_number"), ["document_number"], "comment_id", F.col("take")).select("document_number", "comment_id")
 
@@ -117,10 +117,17 @@ def _(spark, d):
     return labelling.label(comments(spark, d), labelling.KeyWords()).select("comment_id", "model_response", "category")
 
 
-@query("sm11_structured_labels", f"select comment_id, {quoted(X.UNDECIDED)} as category, 0.0::double as confidence, 'invalid reply' as error from {_PROMPT}")
+_VALID = "r in ('citizen', 'org', 'expert')"
+
+
+# The written label is a synonym of the known category.
+_KNOWN = _LABEL.replace("'Organization/Corporation'", "'Large Organization/Corporation'")
+
+
+@query("sm11_structured_labels", f"select comment_id, case when {_VALID} then {_KNOWN} else {quoted(X.UNDECIDED)} end as category, case when {_VALID} then 0.9::double else 0.0::double end as confidence, case when {_VALID} then null else 'invalid reply' end as error from (select comment_id, {_REPLY} as r from {_PROMPT})")
 def _(spark, d):
-    """The stand-in gives no JSON: every reply is invalid and stays undecided."""
-    return labelling.label_structured(comments(spark, d), labelling.KeyWords())
+    """Labels from JSON replies; sentences and unknown categories are invalid and stay undecided."""
+    return labelling.label_structured(comments(spark, d), labelling.StructuredKeyWords())
 
 
 @query("sm13_hybrid_fetch", "select comment_id, needs as from_detail, case when needs then coalesce(duplicate_comments, 0) else 0 end as duplicates from (select *, (length(coalesce(comment_text, '')) = 0 or (coalesce(has_attachments, false) and length(coalesce(comment_text, '')) < 3000)) as needs from comments_raw)")

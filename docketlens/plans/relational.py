@@ -146,6 +146,13 @@ def _(spark, d):
     return comments(spark, d).select("comment_id", "document_number").join(fr(spark, d).select("document_number", "title", "submission_channel"), "document_number").select("comment_id", "title", "submission_channel")
 
 
+@query("jn16_documents_with_counts", "select m.document_number, m.labelled, f.comment_count from (select document_number, count(*) as labelled from makeup_data group by 1) m left join (select distinct document_number, comment_count from federal_register_comments) f on f.document_number = m.document_number")
+def _(spark, d):
+    """Labelled rows per document beside the document's comment count."""
+    per = labelled(spark, d).groupBy("document_number").agg(F.count("*").alias("labelled"))
+    return per.join(fr(spark, d).select("document_number", "comment_count").distinct(), "document_number", "left")
+
+
 # -- aggregates ----------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketlens.functions import exprs as X
 from docketlens.operators import concentration, labelling, ordering, persistence, salted, sampling
+from docketlens.plans import registry
 from docketlens.plans.hot_keys import docket_totals
 from docketlens.sources import harvest
 from tests.conftest import CLASHING
@@ -217,3 +218,47 @@ def test_csv_keeps_carriage_returns(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/comments_raw.parquet")
     got = registry.queries()["src9_csv_round_trip"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_cursor_keeps_rows_at_page_edges(spark, tmp_path):
+    """Pages that end inside a date and inside an id, NULL dates and repeated rows; a stopped stream goes on where it was."""
+    rows = [("2020-01-01", "a", "d1"), ("2020-01-01", "a", "d2"), ("2020-01-01", "a", "d3"), ("2020-01-01", "b", "d1"), (None, "c", None), (None, "c", "d1"), ("2021-05-05", "d", None), ("2021-05-05", "d", None), ("2020-01-01", None, "d9")]
+    spark.createDataFrame(rows, "posted_date string, comment_id string, document_number string").write.parquet(f"{tmp_path}/list")
+    harvest.register(spark)
+
+    def pull():
+        stream = spark.readStream.format("docket_comments").option("path", f"{tmp_path}/list").option("page", "2").load()
+        started = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+        started.processAllAvailable()
+        started.stop()
+        return sorted((tuple(r) for r in spark.read.schema("posted_date string, comment_id string, document_number string").parquet(f"{tmp_path}/out").collect()), key=str)
+
+    want = {r for r in rows if r[1]}
+    assert pull() == sorted(want, key=str)
+    more = ("2022-01-01", "e", "d1")
+    spark.createDataFrame([more], "posted_date string, comment_id string, document_number string").write.mode("append").parquet(f"{tmp_path}/list")
+    assert pull() == sorted(want | {more}, key=str)
+
+
+def test_year_of_calendars_is_a_setting(spark, data):
+    spark.conf.set("docketlens.year", "2019")
+    try:
+        assert {str(r[0])[:4] for r in registry.queries()["jn13_calendar_spine"](spark, data).select("dt").collect()} == {"2019"}
+    finally:
+        spark.conf.unset("docketlens.year")
+
+
+def test_structured_replies(comments):
+    rows = [{"comment_id": str(i), "comment_text": t} for i, t in enumerate(("Our members object", "on behalf of clients", "nothing", "speaking for my family"))]
+    got = {r["comment_id"]: (r["confidence"], r["error"]) for r in labelling.label_structured(comments(rows), labelling.StructuredKeyWords()).collect()}
+    assert got == {"0": (0.9, None), "1": (0.0, "invalid reply"), "2": (0.0, "invalid reply"), "3": (0.9, None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docketlens.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
