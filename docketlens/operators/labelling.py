@@ -40,7 +40,7 @@ class StructuredKeyWords(KeyWords):
         if reply == "undecided":
             return "I can't tell."
         names = {"citizen": X.CITIZEN, "org": X.WRITTEN_ORGANIZATION, "expert": X.EXPERT}
-        return json.dumps({"category": names.get(reply, reply), "confidence": self.confidence})
+        return json.dumps({"category": names.get(reply, "unheard of"), "confidence": self.confidence})
 
 
 def with_retries(labeler: Labeler, prompt: str, attempts: int = ATTEMPTS, base: float = 2.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> str:
