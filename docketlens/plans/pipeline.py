@@ -14,8 +14,8 @@ from docketlens.sources import harvest
 from docketlens.streaming import incremental
 
 QUERIES, SQL = {}, {}
-#: Rows of one page of the comment cursor.
-CURSOR_PAGE = 1000
+#: Rows of one page of the comment cursor, and pages that a micro-batch takes.
+CURSOR_PAGE, CURSOR_PAGES = 1000, 50
 
 
 def query(name: str, sql: str | None = None):
@@ -206,7 +206,7 @@ def _(spark, d):
 def _(spark, d):
     """The whole comment list read page by page through the streaming source; rows without a date are left out after reading."""
     harvest.register(spark)
-    stream = spark.readStream.format("docket_comments").option("path", f"{d}/comments_raw.parquet").option("page", str(CURSOR_PAGE)).load().where("posted_date is not null")
+    stream = spark.readStream.format("docket_comments").option("path", f"{d}/comments_raw.parquet").option("page", str(CURSOR_PAGE)).option("pages", str(CURSOR_PAGES)).load().where("posted_date is not null")
     path = incremental.folder(spark, "cursor")
     started = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", incremental.folder(spark, "cursor-state")).start()
     started.processAllAvailable()

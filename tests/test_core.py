@@ -240,6 +240,40 @@ def test_cursor_keeps_rows_at_page_edges(spark, tmp_path):
     assert pull() == sorted(want | {more}, key=str)
 
 
+def test_cursor_reads_its_list_once(tmp_path, monkeypatch):
+    """Not once a page: pages follow from sorted runs, in order over the runs; a sent reader replays any stretch."""
+    import pickle
+    import random
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyarrow.dataset
+    import pyarrow.parquet
+
+    rng, names = random.Random(3), ("posted_date", "comment_id", "document_number")
+    rows = [(rng.choice([None, "", "2020-01-01", "2021-01-01"]), rng.choice([None, "", "a", "é", "𝒂", *map(str, range(40))]), rng.choice([None, "", "d1", "d2"])) for _ in range(900)]
+    for i in range(3):
+        pa.parquet.write_table(pa.table({n: pa.array([r[k] for r in rows[i * 300 : i * 300 + 300]], pa.string()) for k, n in enumerate(names)}), f"{tmp_path}/{i}.parquet")
+    opened, whole = [], pa.dataset.dataset
+    monkeypatch.setattr(pa.dataset, "dataset", lambda *a, **k: SimpleNamespace(to_batches=lambda **x: opened.append(1) or d.to_batches(**x), files=d.files, filesystem=d.filesystem) if (d := whole(*a, **k)) else None)
+    monkeypatch.setattr(harvest.CommentCursor, "RUN", 250, raising=False)
+    want = sorted({(r[1], r[0], r[2]) for r in rows if r[1]}, key=lambda r: harvest.CommentCursor._key((r[1], r[0], r[2])))
+    for options, most in (({"page": "7"}, 7), ({"page": "7", "pages": "3"}, 21)):
+        opened.clear()
+        cursor = harvest.CommentCursor({"path": str(tmp_path)} | options)
+        at, got, stops = cursor.initialOffset(), [], []
+        while True:
+            page, end = cursor.read(at)
+            if not (page := list(page)):
+                break
+            assert len(page) <= most
+            at, got, stops = end, got + page, [*stops, (at, end, page)]
+        assert got == want and len(stops) == -(-len(want) // most) and len(opened) == 1
+        sent = pickle.loads(pickle.dumps(cursor))
+        assert all(list(sent.readBetweenOffsets(a, b)) == page for a, b, page in stops[:3])
+        assert list(cursor.read(stops[1][0])[0]) == stops[1][2]
+
+
 def test_year_of_calendars_is_a_setting(spark, data):
     spark.conf.set("docketlens.year", "2019")
     try:
