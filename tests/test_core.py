@@ -195,6 +195,34 @@ def test_document_vectors_have_full_size(spark, data):
     assert all(len(r["vector"]) == 300 for r in rows)
 
 
+def test_document_vectors_are_trained_in_parts(spark, monkeypatch):
+    """Parts trained side by side give one model that tells two vocabularies apart, however the rows lie; each word has its context right at the edges of texts."""
+    import random
+
+    import numpy as np
+
+    from docketlens.operators import density
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfghjklm", k=6)) for _ in range(60)]
+    texts = [(i, " ".join(rng.choices(words[:30] if i % 2 else words[30:], k=30))) for i in range(400)] + [(400, "seldom here"), (401, ""), (402, None)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    monkeypatch.setattr(density, "PART_WORDS", 4000)
+    got = [{r["id"]: np.array(r["vector"]) for r in density.document_vectors(df, "id", "text", size=16, rounds=10).collect()} for df in (rows.repartition(3), rows.coalesce(1))]
+    assert all(len(g) == len(texts) for g in got) and all(np.allclose(got[0][i], got[1][i], atol=1e-4) for i in got[0])
+    assert all(abs(np.linalg.norm(v) - (i < 400)) < 1e-9 for i, v in got[0].items())
+    near = np.array([got[0][i] for i in range(400)]) @ got[0][1]
+    assert near[1::2].min() > near[::2].max()
+    unknown = density.document_vectors(spark.createDataFrame([(1, "each word once"), (2, None)], "id long, text string"), "id", "text", size=4)
+    assert sorted(map(tuple, unknown.collect())) == [(1, [0.0] * 4), (2, [0.0] * 4)]
+    # One round moves only words that stand in a context: a text of one word has none, and no context passes the edge of a text.
+    inner, outer, before = np.ones((4, 8), np.float32), np.zeros((4, 8), np.float32), np.ones((4, 8), np.float32)
+    outer[1:] = 0.5
+    monkeypatch.setattr(density, "THIN", 1e9)
+    density.train_words(np.array([0, 1, 2, 3]), np.array([1, 2, 1]), np.array([1, 1, 1, 1]), inner, outer, 5, (0.1, 0.1), [1])
+    assert (inner[[0, 3]] == before[[0, 3]]).all() and (inner[[1, 2]] != before[[1, 2]]).all()
+
+
 def test_neighbours_are_exact_in_blocks(spark, monkeypatch):
     import random
 
