@@ -236,15 +236,16 @@ def message_kinds(units: DataFrame) -> DataFrame:
     A message recurs if it stands in several documents of several sources.  A slot
     seen once whose form alone doesn't tell needs a style that a recurring slot has.
     """
+    # Sides of a join that grow with the input are never broadcast: the planner knows them by their compressed size only.
     # One row per message and source first, so that a message in a third of all documents meets the shuffle as a few rows.
     by_source = units.where("h is not null").groupBy("h", "source").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("masked").alias("masked"), F.min("sign").alias("sign"))
     grouped = by_source.groupBy("h").agg(F.min("masked").alias("masked"), F.min("sign").alias("sign"), ((F.max("high") > F.min("low")) & (F.count("*") > 1)).alias("recurs"))
     told = spill(grouped.mapInArrow(_classify, _KIND_SQL), "p10-kinds")
     runs = told.where("recurs and style is null").select(F.explode("runs").alias("run"), "kind")
     learned = runs.groupBy("run").agg(F.min("kind").alias("taught"), F.max(F.col("kind").isNull()).alias("prose")).where("not prose and taught is not null").select("run", "taught")
-    once = told.where("not recurs and style is null").select("h", F.explode("runs").alias("run")).join(learned, "run").groupBy("h").agg(F.min("taught").alias("taught"))
+    once = told.where("not recurs and style is null").select("h", F.explode("runs").alias("run")).join(learned.hint("merge"), "run").groupBy("h").agg(F.min("taught").alias("taught"))
     styles = told.where("recurs").select("style").where("style is not null").distinct().withColumn("usual", F.lit(True))
-    both = told.join(once, "h", "left").join(styles, "style", "left")
+    both = told.join(once.hint("merge"), "h", "left").join(styles, "style", "left")
     kind = F.coalesce("kind", "taught")
     return spill(both.where(kind.isNotNull() & (F.col("recurs") | F.col("style").isNull() | F.col("usual"))).select("h", kind.alias("kind"), "recurs", F.col("taught").isNotNull().alias("learned")), "p10-told")
 
@@ -260,8 +261,8 @@ def judged_kinds(documents: DataFrame) -> DataFrame:
     marked = spill(held.join(spread(told), ["h", "salt"]).select("doc_id", "h", "kind", "recurs", "learned", "words"), "p10-marked")
     telling = marked.where(F.col("kind") != PLACEHOLDER)
     size = units.where("h is null").groupBy("doc_id").agg(F.sum("words").alias("all"))
-    shares = telling.groupBy("doc_id").agg(F.sum("words").alias("residue")).join(size, "doc_id").select("doc_id", "all", (F.col("residue") >= F.col("all") * SHARE_ALONE).alias("alone"))
-    shares = spill(shares, "p10-shares")
+    shares = telling.groupBy("doc_id").agg(F.sum("words").alias("residue")).join(size.hint("merge"), "doc_id").select("doc_id", "all", (F.col("residue") >= F.col("all") * SHARE_ALONE).alias("alone"))
+    shares = spill(shares, "p10-shares").hint("merge")
     stands = telling.where("recurs").join(shares, "doc_id").groupBy("h").agg(F.avg(F.col("alone").cast("int")).alias("alone"))
     trusted = spread(stands.where(F.col("alone") >= TRUST).select("h"))
     sure = telling.where("recurs").select("*", salt).join(trusted, ["h", "salt"]).select("doc_id", "kind")
@@ -289,4 +290,4 @@ def residue_kinds(documents: DataFrame) -> DataFrame:
 
 def without_residue(documents: DataFrame) -> DataFrame:
     """p10: the documents that hold no residue, all columns unchanged."""
-    return documents.join(residue_kinds(documents).select("doc_id").distinct(), "doc_id", "left_anti")
+    return documents.join(residue_kinds(documents).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")

@@ -438,6 +438,18 @@ def test_residue_within_longer_texts(documents):
     assert got == {(1, "script_notice"), (2, "script_notice"), (3, "script_notice"), (4, "filler"), (5, "error_page")}
 
 
+def test_residue_broadcasts_nothing_that_grows(documents, monkeypatch):
+    """Every join but the one with the few styles of slots is a merge join, whatever the planner thinks of its sides."""
+    plans, spill = [], residue.spill
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(residue, "spill", lambda df, name: plans.append(plan(df)) or spill(df, name))
+    table = documents([{"doc_id": i, "text": "Error 404: page not found.", "source": "ab"[i % 2]} for i in range(6)])
+    clean = residue.without_residue(table)
+    joins = [line for p in [*plans, plan(clean)] for line in p.split("\n") if re.search(r"\bJoin\b", line) and "style" not in line]
+    assert len(joins) >= 7 and all("strategy=merge" in line for line in joins)
+    assert clean.count() == 0
+
+
 def test_residue_comes_from_recurring_messages(documents):
     """Dates in words are masked; a notice counts where it stands alone elsewhere, prose about such things does not, however often it recurs."""
     assert {residue.mask(t) for t in ("Posted January 5, 2024.", "Posted 5 January 2024.", "Posted 2024-01-05.")} == {"posted 0."}
